@@ -136,6 +136,14 @@ def mix(docs: DataFrame, sources: F.Column | None = None, weights: tuple[float,
     return even.unionByName(cut).select(*cols, F.least("copies", F.lit(repeats)).alias("copies")), info
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with all columns, each document as often as the mix takes it."""
+    key = F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+    found, _ = mix(docs.select(key.alias("doc_id"), "text", "source"), **options)
+    copies = found.where("copies > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.min("copies").alias("_copies"))
+    return docs.withColumn("_row", key).join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     found, info = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("source", F.col("sources")[0]).alias("f").join(F.broadcast(info).alias("i"), F.col("f.source").eqNullSafe(F.col("i.source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))

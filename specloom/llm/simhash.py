@@ -118,6 +118,15 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, distance: int = 2, hot: i
     return marked.join(of.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 2, hot: int = 64) -> DataFrame:
+    """``docs`` with all columns, of each group the document of least doc_id (then of least text hash)."""
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
+    found = save(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), n_words, distance, hot), "groups")
+    ids = keyed.select(F.col("_row").alias("r"), F.col("doc_id").cast("bigint").alias("i"))
+    best = found.join(ids, found["doc_id"] == ids["r"]).groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull(), "i", "r")).alias("m"))
+    return keyed.join(best.select(F.col("m.r").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

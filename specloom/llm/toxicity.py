@@ -182,6 +182,19 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """``docs`` with all columns, without the documents that score ``threshold`` or more."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                fine = model.score(np.array([features(t, model.learned) for t in batch.column(at).to_pylist()])) < threshold
+                yield batch.filter(pa.array(fine))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scores(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
