@@ -7,9 +7,10 @@ so for t = 2 the first seven segments (28 bits) are equal, chains of 8 to 15 seg
 and all 16 in two. Equal 28-bit chains are found with an equi-join on (start, chain); the longer chains prune inside
 the join before the full Hamming check.
 
-A chain that over ``hot`` distinct fingerprints share is not paired up: its fingerprints are linked through the 65
+A chain that over ``hot`` distinct fingerprints share is not joined in pairs. For distances up to two its fingerprints are linked through the 65
 values at one bit or none from each (two fingerprints share such a value exactly if they differ in two bits or
-fewer; at most 65 fingerprints can share one), so no link is lost and nothing grows with the square of a group.
+fewer; at most 65 fingerprints can share one), so no link is lost and nothing grows with the square of a group. For larger
+distances one task compares such a group in blocks and sends the edges of a spanning forest only.
 
 Null or empty text, or one without words: fingerprint zero, linked like any other. One or two words: the whole
 sequence is the one shingle. Rows repeat as they come; a null doc_id is never a component's least unless alone.
@@ -75,28 +76,70 @@ def fingerprints(docs: DataFrame, n_words: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, fp bigint")
 
 
+def _allowed(n: int, distance: int) -> int:
+    """Differing bits that a chain of n segments may have."""
+    return n * distance // SEGMENTS
+
+
+def _chains(distance: int, flips: int) -> int:
+    """Segments of the longest chain that may have ``flips`` differing bits at most."""
+    return max(n for n in range(1, SEGMENTS + 1) if _allowed(n, distance) <= flips)
+
+
+def forest(table: pa.Table, distance: int, block: int = 1024) -> pa.Table:
+    """Edges that connect what is within ``distance`` among the fingerprints of one crowded chain, fewer than there are fingerprints."""
+    fps = np.unique(table.column("fp").to_numpy())
+    label = np.arange(len(fps))
+    while True:
+        new = label.copy()
+        for i in range(0, len(fps), block):
+            mine = fps[i : i + block].view(np.uint64)
+            for j in range(0, len(fps), block):
+                near = np.bitwise_count(mine[:, None] ^ fps[j : j + block].view(np.uint64)[None]) <= distance
+                best = np.where(near, label[None, j : j + block], len(fps)).min(axis=1)
+                np.minimum(new[i : i + block], best, out=new[i : i + block])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(fps)))
+    return pa.table({"a": fps[label[far]], "b": fps[far]})
+
+
 def links(fps: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints ``fps`` (fp) that connect exactly what links of ``distance`` or fewer bits connect."""
-    if not 0 <= distance <= 2:
-        raise ValueError("distance must be 0, 1 or 2")
-    equal = next(n for n in range(SEGMENTS, 0, -1) if n * distance < SEGMENTS) * BITS  # bits of the chain that must be equal
-    chain = (1 << equal) - 1 if equal < 64 else -1
+    """Edges (a, b) among distinct fingerprints ``fps`` (fp) that connect exactly what links of ``distance`` or fewer bits connect.
+
+    Up to two bits, fingerprints meet on chains that must be equal. Beyond that, these chains get short, so they meet on
+    longer ones that may differ in one bit: each fingerprint is stored under its own chains and looks under all that are a
+    permitted bit away.
+    """
+    if not 0 <= distance <= 8:
+        raise ValueError("distance must be 0 to 8")
+    flips = 0 if distance <= 2 else 1
+    equal, chain = _chains(distance, 0) * BITS, _chains(distance, flips) * BITS
+    mask = (1 << chain) - 1 if chain < 64 else -1
     turned = lambda c, k: f"(shiftrightunsigned({c}, {k}) | shiftleft({c}, {64 - k}))" if k else c
     rings = fps.select("fp", F.expr("explode(array(" + ",".join(f"struct({i} as s, {turned('fp', i * BITS)} as x)" for i in range(SEGMENTS)) + "))").alias("r"))
-    rings = save(rings.selectExpr("fp", "r.s", "r.x", f"r.x & {chain}L as chain"), "rings")
-    sizes = rings.groupBy("s", "chain").count().where("count > 1")
-    few = rings.join(sizes.where(F.col("count") <= hot), ["s", "chain"])
-    a, b = few.select("s", "chain", F.col("x").alias("xa"), F.col("fp").alias("a")), few.select("s", "chain", F.col("x").alias("xb"), F.col("fp").alias("b"))
-    checks = [F.col("a") < F.col("b")]
-    for n in range(SEGMENTS, equal // BITS, -1):  # each longer chain within its share, the whole ring last
-        if n == SEGMENTS or (n * distance) // SEGMENTS < ((n + 1) * distance) // SEGMENTS:
+    rings = save(rings.selectExpr("fp", "r.s", "r.x", f"r.x & {mask}L as chain"), "rings")
+    sizes = save(rings.groupBy("s", "chain").count().where("count > 1" if not flips else "count > 0"), "sizes")
+    looking = rings
+    if flips:
+        looking = rings.select("fp", "s", "x", F.explode(F.expr(f"concat(array(chain), transform(sequence({equal}, {chain - 1}), i -> chain ^ shiftleft(1L, i)))")).alias("chain"))
+    few, crowds = sizes.where(F.col("count") <= hot), sizes.where(F.col("count") > hot).select("s", "chain")
+    stored = rings.join(few, ["s", "chain"]).select("s", "chain", F.col("x").alias("xb"), F.col("fp").alias("b"))
+    asking = (looking.join(few, ["s", "chain"]) if not flips else looking).select("s", "chain", F.col("x").alias("xa"), F.col("fp").alias("a"))
+    on = (F.col("l.s") == F.col("r.s")) & (F.col("l.chain") == F.col("r.chain")) & (F.col("a") < F.col("b"))
+    for n in range(chain // BITS + 1, SEGMENTS + 1):  # each longer chain within its share, the whole ring last
+        if n == SEGMENTS or _allowed(n, distance) < _allowed(n + 1, distance):
             part = (1 << n * BITS) - 1 if n < SEGMENTS else -1
-            checks.insert(1, F.expr(f"bit_count((xa ^ xb) & {part}L) <= {n * distance // SEGMENTS}"))
-    on = (F.col("l.s") == F.col("r.s")) & (F.col("l.chain") == F.col("r.chain"))
-    for c in checks:
-        on = on & c
-    near = a.alias("l").join(b.alias("r"), on).select("a", "b")
-    crowd = rings.join(sizes.where(F.col("count") > hot), ["s", "chain"]).select("fp").distinct()
+            on = on & F.expr(f"bit_count((xa ^ xb) & {part}L) <= {_allowed(n, distance)}")
+    near = asking.alias("l").join(stored.alias("r"), on).select("a", "b")
+    if crowds.isEmpty():
+        return near
+    if flips:
+        crowd = looking.join(crowds, ["s", "chain"]).select("s", "chain", "fp")
+        return near.unionByName(crowd.groupBy("s", "chain").applyInArrow(lambda table: forest(table, distance), "a bigint, b bigint"))
+    crowd = rings.join(crowds, ["s", "chain"]).select("fp").distinct()
     if distance == 2:
         values = crowd.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))) as v")
         met = values.groupBy("v").agg(F.array_sort(F.collect_set("fp")).alias("g")).where("size(g) > 1")  # 65 at most
@@ -118,7 +161,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, distance: int = 2, hot: i
     return marked.join(of.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 2, hot: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 6, hot: int = 64) -> DataFrame:
     """``docs`` with all columns, of each group the document of least doc_id (then of least text hash)."""
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
     found = save(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), n_words, distance, hot), "groups")
