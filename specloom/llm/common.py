@@ -44,14 +44,14 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
-def over_batches(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: pa.Schema) -> Callable:
-    """A mapInArrow function: ``make`` runs once a task, what it returns maps a batch to columns."""
+def over_batches(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: pa.Schema, rows: int = 256) -> Callable:
+    """A mapInArrow function: ``make`` runs once a task, what it returns maps ``rows`` rows at most to columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(step(batch), schema=schema)
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pydict(step(batch.slice(at, rows)), schema=schema)
 
     return run
 

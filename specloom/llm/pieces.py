@@ -15,6 +15,7 @@ import hashlib
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -86,7 +87,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, digests_only: bo
             if digests_only:
                 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
                 return out | {"ids_sha256": [sha(x) for x, _ in both], "decoded_sha256": [sha(x) for _, x in both]}
-            return out | {"ids": [[int(i) for i in x.split(" ")] for x, _ in both], "decoded": [x for _, x in both]}
+            return out | {"ids": [np.fromstring(x, np.int32, sep=" ") for x, _ in both], "decoded": [x for _, x in both]}
 
         return step
 

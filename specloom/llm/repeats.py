@@ -124,8 +124,9 @@ def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_
 
     occ = texts.select("uid", "doc_id", "text").mapInArrow(over_batches(find, found), "anchor bigint, ctx bigint, uid bigint, doc_id bigint, off int, s0 bigint, span int")
     occ = save(occ, "anchors")
-    several = occ.groupBy("anchor").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("anchor")
-    contexts = occ.join(several, "anchor").groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "s0")).alias("at"), F.first("off").alias("off"), F.first("span").alias("span"))
+    contexts = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "s0")).alias("at"), F.first("off").alias("off"), F.first("span").alias("span"))
+    several = contexts.groupBy("anchor").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("anchor")
+    contexts = contexts.join(several, "anchor")
     contexts = save(contexts.select("anchor", "ctx", "n", "at.*", "off", "span"), "contexts")
     crowds = contexts.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot"))
     contexts = contexts.join(crowds, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))

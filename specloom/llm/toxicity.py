@@ -187,8 +187,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
                 fine = model.score(np.array([features(t, model.learned) for t in batch.column(at).to_pylist()])) < threshold
                 yield batch.filter(pa.array(fine))
 
