@@ -107,9 +107,12 @@ def rt_input(modified: Column, stripped: Column | None = None, carbamidomethyl:
     residues, groups = F.regexp_extract_all(body, pattern, F.lit(1)), F.regexp_extract_all(body, pattern, F.lit(2))
     seq = F.array_join(residues, "") if stripped is None else F.coalesce(F.when(F.trim(stripped) != "", F.upper(F.trim(stripped))), F.array_join(residues, ""))
     fixed = F.lit(carbamidomethyl) if isinstance(carbamidomethyl, bool) else carbamidomethyl
-    found = []
-    for name, token in TOKENS.items():
-        found.append(F.filter(F.transform(groups, lambda g, i, t=token, n=name: F.when(F.lower(g).rlike(r"[(\[]" + t + r"[)\]]"), F.struct((i + 1).alias("at"), F.lit(n).alias("name")))), lambda x: x.isNotNull()))
+
+    def named(name: str, token: str) -> Column:
+        marked = lambda g, i: F.when(F.lower(g).rlike(r"[(\[]" + token + r"[)\]]"), F.struct((i + 1).alias("at"), F.lit(name).alias("name")))
+        return F.filter(F.transform(groups, marked), lambda x: x.isNotNull())
+
+    found = [named(name, token) for name, token in TOKENS.items()]
     plain = F.filter(F.transform(letters(seq), lambda c, i: F.when((c == "C") & fixed, F.struct((i + 1).alias("at"), F.lit("Carbamidomethyl").alias("name")))), lambda x: x.isNotNull())
     every = F.array_sort(F.array_distinct(reduce(F.concat, [*found, plain])))
     return F.struct(seq.alias("seq"), F.array_join(F.transform(every, lambda x: F.concat_ws("|", x["at"].cast("string"), x["name"])), "|").alias("modifications"))
