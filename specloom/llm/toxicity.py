@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from specloom.llm.common import crc_mod, hash64, over_batches
 
 #: English words of abuse that start the lexicon, and second-person words of four languages.
-SEED_WORDS = frozenset("idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting ugly hate clown jerk imbecile cretin vermin filth pig liar shut kill die".split())
+SEED_WORDS = frozenset("idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting ugly hate clown jerk imbecile cretin vermin filth pig liar".split())
 YOU = frozenset("you your yours yourself u ur du dich dir dein ihr euch tu te toi ton vous votre tus ti vosotros usted".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
     bad, good = (totals["bad"], totals["good"]) if totals else (0, 0)
     odds = F.log((F.col("bad") + 0.5) / (F.lit(bad) + 1.0)) - F.log((F.col("good") + 0.5) / (F.lit(good) + 1.0))
     deviation = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = words.where("word <> '' and bad >= 3").withColumn("odds", odds).withColumn("z", odds / deviation).where("z >= 3 and odds >= 1").orderBy(F.desc("z"), "word").limit(most_words)
+    best = words.where("word <> '' and bad >= 5").withColumn("odds", odds).withColumn("z", odds / deviation).where("z >= 4 and odds >= 1").orderBy(F.desc("z"), "word").limit(most_words)
     learned = {r["word"]: float(r["odds"]) for r in best.collect()}
 
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("part", pa.int32()), ("x", pa.list_(pa.float64()))])
