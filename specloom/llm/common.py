@@ -35,6 +35,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Bounds the session's Arrow batches: whole texts in the default 10,000 rows take much memory outside the heap."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if not 0 < now <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def crc_mod(key: Column, m: int) -> Column:
     """crc32(key as text) mod m; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % m
@@ -52,6 +61,7 @@ def over_batches(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: p
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield pa.RecordBatch.from_pydict(step(batch.slice(at, rows)), schema=schema)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import crc_mod, hash64, over_batches
+from specloom.llm.common import crc_mod, hash64, over_batches, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -124,7 +124,7 @@ def identify(docs: DataFrame, model: Backoff) -> DataFrame:
 
         return step
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, lang_pred string, score double")
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, lang_pred string, score double")
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:

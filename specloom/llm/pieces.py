@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from specloom.llm.common import over_batches
+from specloom.llm.common import over_batches, small_batches
 
 #: The white-space marker of the library.
 MARK = "▁"
@@ -34,7 +34,7 @@ def default_model() -> str:
 class ChunkTable:
     """Text to ids and back by distinct marked words; ``most`` bounds the table."""
 
-    def __init__(self, model: bytes, most: int = 300_000):
+    def __init__(self, model: bytes, most: int = 100_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -72,7 +72,7 @@ class ChunkTable:
         return " ".join([x[0] for x in both]) + f" {self.end}", " ".join([x[1] for x in both])
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, digests_only: bool = False, most: int = 300_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, digests_only: bool = False, most: int = 100_000) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded), or with ``digests_only`` (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     proto = Path(model or default_model()).read_bytes()  # of fixed size; goes with the tasks
     rest = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests_only else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
@@ -92,7 +92,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, digests_only: bo
         return step
 
     kinds = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string"
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), f"doc_id bigint, n_tokens bigint, {kinds}")
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), f"doc_id bigint, n_tokens bigint, {kinds}")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import mix64, over_batches, save, text_of
+from specloom.llm.common import mix64, over_batches, save, small_batches, text_of
 from specloom.llm.rolling import Prefix
 
 GRAM, PIECE = 32, 16
@@ -104,7 +104,7 @@ def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_
     """
     if length < 2 * GRAM or length % 4:
         raise ValueError(f"length must be a multiple of 4 and at least {2 * GRAM}")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     found = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("off", pa.int32()), ("s0", pa.int64()), ("span", pa.int32())])
 
     def find():

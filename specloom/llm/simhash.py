@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import components, over_batches, save
+from specloom.llm.common import components, over_batches, save, small_batches
 
 SEGMENTS, BITS = 16, 4
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, n_words: int) -> DataFrame:
     def make():
         return lambda batch: {"doc_id": batch.column("doc_id"), "fp": pa.array(fingerprints_of(batch.column("text").to_pylist(), n_words).view(np.int64))}
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, fp bigint")
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, fp bigint")
 
 
 def _allowed(n: int, distance: int) -> int:

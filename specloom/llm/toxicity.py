@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import crc_mod, hash64, over_batches
+from specloom.llm.common import crc_mod, hash64, over_batches, small_batches
 
 #: English words of abuse that start the lexicon, and second-person words of four languages.
 SEED_WORDS = frozenset("idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting ugly hate clown jerk imbecile cretin vermin filth pig liar".split())
@@ -179,7 +179,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def make():
         return lambda batch: {"doc_id": batch.column("doc_id"), "score": model.score(np.array([features(t, model.learned) for t in batch.column("text").to_pylist()]))}
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, score double")
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -193,7 +193,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
                 fine = model.score(np.array([features(t, model.learned) for t in batch.column(at).to_pylist()])) < threshold
                 yield batch.filter(pa.array(fine))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op8_toxicity(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:
