@@ -15,6 +15,7 @@ are ids like any other. Other columns pass only in ``mask``. An empty table give
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specloom.llm.common import save, text_of
@@ -36,12 +37,21 @@ def _literal(pattern: str) -> str:
 
 
 def matches(pattern: str, maybe: str = "true") -> str:
-    """SQL: array<struct<s,e,m>> of the leftmost matches in ``text``, in code points, end exclusive."""
+    """SQL: array<struct<s,e,m,l>> of the leftmost matches in ``text``, in code points, end exclusive; l is what stands before, 64 code points at most."""
     p = _literal(pattern)
-    step = "(a, z) -> named_struct('at', a.at + length(z.g) + coalesce(length(z.m), 0), 'out', if(z.m is null, a.out, concat(a.out, array(named_struct('s', a.at + length(z.g), 'e', a.at + length(z.g) + length(z.m), 'm', z.m)))))"
+    step = "(a, z) -> named_struct('at', a.at + length(z.g) + coalesce(length(z.m), 0), 'out', if(z.m is null, a.out, concat(a.out, array(named_struct('s', a.at + length(z.g), 'e', a.at + length(z.g) + length(z.m), 'm', z.m, 'l', right(if(length(z.g) < 64, concat(a.l, z.g), z.g), 64))))), 'l', right(concat(a.l, z.g, coalesce(z.m, '')), 64))"
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    total = lambda x: f"aggregate({x}, 0, (x, y) -> x + y)"
     pairs = f"zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, m) -> named_struct('g', g, 'm', m))"
-    empty = "cast(array() as array<struct<s: int, e: int, m: string>>)"
-    return f"if({maybe}, aggregate({pairs}, named_struct('at', 0, 'out', {empty}), {step}, a -> a.out), {empty})"
+    # lengths are summed by blocks of 128, so that many matches in one text stay cheap
+    start = f"{total('slice(sums, 1, i div 128)')} + {total('slice(lens, (i div 128) * 128 + 1, i % 128)')} + length(z.g)"
+    left = "right(if(length(z.g) < 64 and i > 0, concat(get(ps, i - 1).m, z.g), z.g), 64)"
+    one = let(start, "at", f"named_struct('s', at, 'e', at + length(z.m), 'm', z.m, 'l', {left})")
+    each = f"transform(slice(ps, 1, size(ps) - 1), (z, i) -> {one})"
+    sums = f"transform(sequence(0, (size(lens) - 1) div 128), b -> {total('slice(lens, cast(b * 128 + 1 as int), 128)')})".replace("sequence(0, (size(lens) - 1) div 128)", "sequence(0, cast((size(lens) - 1) div 128 as int))")
+    found = let(pairs, "ps", let("transform(ps, z -> length(z.g) + coalesce(length(z.m), 0))", "lens", let(sums, "sums", each)))
+    found = found.replace("i div 128", "cast(i div 128 as int)")
+    return f"if({maybe}, {found}, cast(array() as array<struct<s: int, e: int, m: string, l: string>>))"
 
 
 def _luhn(digits: str) -> str:
@@ -51,7 +61,7 @@ def _luhn(digits: str) -> str:
 
 
 def base_spans() -> Column:
-    """array<struct<s, k, e, m>> of all kinds, by start, then kind as listed."""
+    """array<struct<s, k, e, m, l>> of all kinds, by start, then kind as listed."""
     digits = r"regexp_replace(z.m, '[^0-9]', '')"
     fits = {
         "email": "true",
@@ -61,20 +71,19 @@ def base_spans() -> Column:
     }
     # the digits' number is checked before they are summed
     fits["card"] = f"if(length({digits}) between 14 and 19, {_luhn(digits)}, false)"
-    all_ = [f"transform(filter({matches(FORMS[k], MAYBE[k])}, z -> {fits[k]}), z -> named_struct('s', z.s, 'k', {i}, 'e', z.e, 'm', z.m))" for i, k in enumerate(KINDS)]
+    all_ = [f"transform(filter({matches(FORMS[k], MAYBE[k])}, z -> {fits[k]}), z -> named_struct('s', z.s, 'k', {i}, 'e', z.e, 'm', z.m, 'l', z.l))" for i, k in enumerate(KINDS)]
     return F.expr(f"array_sort(concat({', '.join(all_)}))")
 
 
-def _left(upto: str) -> str:
-    """SQL: the lexical pattern left of a position: what touches it, or else the word before (with a space)."""
-    before = f"substring(text, greatest(1, {upto} - 63), least(64, {upto}))"
+def _left(before: str) -> str:
+    """SQL: the lexical pattern that a text ends in: what touches its end, or else the last word (with a space)."""
     touch = f"regexp_extract({before}, '([^\\\\x20\\\\x09-\\\\x0D]*)$', 1)"
     word = f"regexp_extract({before}, '([^\\\\x20\\\\x09-\\\\x0D]+)[\\\\x20\\\\x09-\\\\x0D]+$', 1)"
     return f"lower(if({touch} <> '', {touch}, concat({word}, ' ')))"
 
 
 def spans(docs: DataFrame, rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
-    """(doc_id, text, base, added): spans as array<struct<s, k, e, m>>, k an index of KINDS; ``added`` by the method."""
+    """(doc_id, text, base, added): spans as array<struct<s, k, e, m, l>>, k an index of KINDS; ``added`` by the method."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     # only texts with a digit or an @ can hold a span or a candidate
     cand = matches(CANDIDATE, "text rlike '[0-9]'")
@@ -82,11 +91,16 @@ def spans(docs: DataFrame, rounds: int = 3, confident: float = 0.8, support: int
     core = r"regexp_extract(substring(c.m, 1 + length(pre)), '^(.*[A-Za-z0-9])', 1)"
     held = rows.withColumn("base", base_spans())
     # small: one row for each seed or candidate, with no text
-    marked = held.where(F.expr("size(base) > 0 or text rlike '[0-9]'")).select("doc_id", F.xxhash64("text").alias("h"), "text", "base", F.expr(cand).alias("c"))
-    seeds = marked.select("doc_id", "h", "text", F.explode("base").alias("z")).select("doc_id", "h", F.col("z.s").alias("s"), F.col("z.e").alias("e"), F.col("z.k").alias("k"), F.col("z.m").alias("m"), F.expr(_left("z.s")).alias("pattern"))
-    others = marked.select("doc_id", "h", "text", "base", F.explode("c").alias("c")).withColumn("pre", F.expr(inner)).withColumn("m", F.expr(core)).withColumn("s", F.expr("c.s + length(pre)")).withColumn("e", F.expr("s + length(m)"))
-    others = others.where("m rlike '[0-9]' and not exists(base, z -> z.s < e and s < z.e)").select("doc_id", "h", "s", "e", F.lit(None).cast("int").alias("k"), "m", F.expr(_left("s")).alias("pattern"))
-    graph = save(seeds.unionByName(others).where("pattern <> ' '"), "graph")  # a text's first word has no context
+    marked = held.where(F.expr("size(base) > 0 or text rlike '[0-9]'")).select("doc_id", F.xxhash64("text").alias("h"), "base", F.expr(cand).alias("c"))
+    seeds = marked.select("doc_id", "h", F.explode("base").alias("z")).select("doc_id", "h", F.col("z.s").alias("s"), F.col("z.e").alias("e"), F.col("z.k").alias("k"), F.col("z.m").alias("m"), F.expr(_left("z.l")).alias("pattern"))
+    others = marked.select("doc_id", "h", F.explode("c").alias("c")).withColumn("pre", F.expr(inner)).withColumn("m", F.expr(core)).withColumn("s", F.expr("c.s + length(pre)")).withColumn("e", F.expr("s + length(m)"))
+    others = others.where("m rlike '[0-9]'").select("doc_id", "h", "s", "e", F.lit(None).cast("int").alias("k"), "m", F.expr(_left("concat(c.l, pre)")).alias("pattern"))
+    # a candidate goes if a seed that begins before its end ends after its start; one document's rows at a time
+    rank = F.when(F.col("k").isNull(), F.col("e")).otherwise(F.col("s"))
+    upto = W.partitionBy("doc_id", "h").orderBy(rank, F.col("k").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = seeds.unionByName(others).withColumn("reach", F.coalesce(F.max(F.when(F.col("k").isNotNull(), F.col("e"))).over(upto), F.lit(0)))
+    every = every.where("k is not null or reach <= s").drop("reach")
+    graph = save(every.where("pattern <> ' '"), "graph")  # a text's first word has no context
     edges = graph.groupBy("pattern", "m").agg(F.count("*").alias("n"), F.max(F.col("k").isNotNull().cast("int")).alias("seed"))
     edges = save(edges, "edges")
     # what follows a pattern: for a word before, every occurrence of the word; else the candidates and seeds that it touches
@@ -103,11 +117,11 @@ def spans(docs: DataFrame, rounds: int = 3, confident: float = 0.8, support: int
         value = scored.join(p, "pattern").groupBy("m").agg(F.when(F.max("seed") == 1, F.lit(1.0)).otherwise(F.avg("score")).alias("v"))
     kinds = graph.where("k is not null").groupBy("pattern", "k").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.max(F.struct("n", (-F.col("k")).alias("j"))).alias("top"))
     sure = (p if rounds else patterns.withColumn("score", F.lit(0.0))).where(F.col("score") >= confident).join(kinds, "pattern").select("pattern", (-F.col("top.j")).alias("kind"))
-    more = graph.where("k is null").join(sure, "pattern").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("s", F.col("kind").cast("int").alias("k"), "e", "m"))).alias("added"))  # of one document
+    more = graph.where("k is null").join(sure, "pattern").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("s", F.col("kind").cast("int").alias("k"), "e", "m", F.lit("").alias("l")))).alias("added"))  # of one document
     more = save(more, "added").select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "added")
     if more.isEmpty():
-        return held.withColumn("added", F.expr("cast(array() as array<struct<s: int, k: int, e: int, m: string>>)"))
-    return held.withColumn("h", F.xxhash64("text")).join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left").select("doc_id", "text", "base", F.expr("coalesce(added, cast(array() as array<struct<s: int, k: int, e: int, m: string>>))").alias("added"))
+        return held.withColumn("added", F.expr("cast(array() as array<struct<s: int, k: int, e: int, m: string, l: string>>)"))
+    return held.withColumn("h", F.xxhash64("text")).join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left").select("doc_id", "text", "base", F.expr("coalesce(added, cast(array() as array<struct<s: int, k: int, e: int, m: string, l: string>>))").alias("added"))
 
 
 def mask(docs: DataFrame, **options) -> DataFrame:
