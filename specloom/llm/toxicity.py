@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a whole text: densities of a seed lexicon and of a lexicon learned from labelled documents, their
+Features of a whole text: densities of a seed lexicon and of a lexicon of words and stems learned from labelled documents, their
 proximity to second-person words, capitals, punctuation, and rates of obfuscated lexicon words (digits or symbols
 in place of letters, letters set apart by symbols). The trees (logistic loss, 32 bins a feature) are fitted on the
 driver to the features of a bounded sample of labelled documents (``sample`` rows, those of least seeded hash);
@@ -33,18 +33,32 @@ WORDS = re.compile(r"[^\W\d_]+")
 ODD = re.compile(r"[^\W\d_](?:[^\s\w]|[\d_])[^\s]*[^\W\d_]|[^\W\d_]*[013457@$!|][^\W\d_][^\s]*")
 UPPER, PUNCT = bytes(range(65, 91)), b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 N_FEATURES = 18
+#: Letters of the stems that the learned lexicon holds beside whole words, marked by an asterisk.
+STEMS = (5, 7)
+
+
+def entries(word: str) -> list[str]:
+    """What the learned lexicon may hold of a word: itself and its shorter stems."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
+def weights_of(words: set[str], learned: dict[str, float]) -> dict[str, float]:
+    """Weights of the words that the learned lexicon knows: of their heaviest entry."""
+    known = ((w, [learned[e] for e in entries(w) if e in learned]) for w in words)
+    return {w: max(x) for w, x in known if x}
 
 
 def features(text: str | None, learned: dict[str, float]) -> list[float]:
-    """Dense features of a whole text; ``learned`` maps words to weights."""
+    """Dense features of a whole text; ``learned`` maps words and stems to weights."""
     text = text or ""
     low = text.lower()
     words = WORDS.findall(low)
+    weights = weights_of({*words}, learned)
     n = max(len(words), 1)
     raw = text.encode()
     size = max(len(raw), 1)
     seed_at = [i for i, w in enumerate(words) if w in SEED_WORDS]
-    got = [(i, learned[w]) for i, w in enumerate(words) if w in learned]
+    got = [(i, weights[w]) for i, w in enumerate(words) if w in weights] if weights else []
     at = sorted({*seed_at, *(i for i, _ in got)})
     near = 0
     if at:
@@ -147,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
         def step(batch: pa.RecordBatch) -> dict:
             by: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                by[y].update({*WORDS.findall((text or "").lower()), ""})
+                by[y].update({"", *(e for w in {*WORDS.findall((text or "").lower())} for e in entries(w))})
             rows = [(w, y, n) for y in (0, 1) for w, n in by[y].items()]
             return {k: [r[i] for r in rows] for i, k in enumerate(("word", "y", "n"))}
 
@@ -159,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
     bad, good = (totals["bad"], totals["good"]) if totals else (0, 0)
     odds = F.log((F.col("bad") + 0.5) / (F.lit(bad) + 1.0)) - F.log((F.col("good") + 0.5) / (F.lit(good) + 1.0))
     deviation = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = words.where("word <> '' and bad >= 5").withColumn("odds", odds).withColumn("z", odds / deviation).where("z >= 4 and odds >= 1").orderBy(F.desc("z"), "word").limit(most_words)
+    best = words.where("word <> '' and bad >= 5").withColumn("odds", odds).withColumn("z", odds / deviation).where("z >= 3 and odds >= 1").orderBy(F.desc("z"), "word").limit(most_words)
     learned = {r["word"]: float(r["odds"]) for r in best.collect()}
 
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("part", pa.int32()), ("x", pa.list_(pa.float64()))])

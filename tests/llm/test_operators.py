@@ -107,6 +107,18 @@ def test_language_and_toxicity_held_out(spark, docs):
     assert ((bad[:, None] > good).mean() + 0.5 * (bad[:, None] == good).mean()) > 0.85
 
 
+def test_lexicon_holds_stems(spark):
+    assert toxicity.entries("abcdef") == ["abcdef", "abcde*"] and toxicity.entries("abc") == ["abc"]
+    assert toxicity.weights_of({"abcdefgh", "abcdx", "abcde"}, {"abcde*": 1.0, "abcdefgh": 2.0}) == {"abcdefgh": 2.0}
+    rows = [(i, f"some plain words here {'grumpf' + chr(97 + i % 26) + 'x' * (i // 26 % 9) if i % 3 == 0 else 'fine'}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "0 quality", "int(doc_id % 3 = 0) toxic"))
+    assert "grump*" in model.learned
+    unseen = spark.createDataFrame([(1, "some plain words here grumpfzzz"), (2, "some plain words here fine")], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in toxicity.scores(unseen, model).collect()}
+    assert found[1] >= 0.3 > found[2]
+
+
 def test_flow_and_targets():
     assert mixing.targets([100, 100], (5, 1)) == [200, 100]
     taken = mixing.min_cost_flow({frozenset({0}): 10, frozenset({1}): 10, frozenset({0, 1}): 10}, [20.0, 10.0])
