@@ -12,7 +12,12 @@ values at one bit or none from each (two fingerprints share such a value exactly
 fewer; at most 65 fingerprints can share one), so no link is lost and nothing grows with the square of a group. For larger
 distances one task compares such a group in blocks and sends the edges of a spanning forest only.
 
-Null or empty text, or one without words: fingerprint zero, linked like any other. One or two words: the whole
+``keep_one`` removes near copies by the Jaccard similarity of their sets of word shingles. Texts of equal words are one
+class. Classes are candidates if fingerprints of their distinct single words are linked as above: an edited word changes
+``n_words`` shingles but one word, so copies stay within few bits. Each class is compared with the least of its component exactly
+(the star); candidates that this leaves in different groups are compared exactly with each other, in crowded chains too.
+
+Null or empty text, or one without words: fingerprint zero, linked like any other. Fewer words than a shingle: the whole
 sequence is the one shingle. Rows repeat as they come; a null doc_id is never a component's least unless alone.
 Other columns pass only in ``keep_one``. An empty table gives an empty result.
 """
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import components, over_batches, save, small_batches
+from specloom.llm.common import components, over_batches, save, small_batches, text_of
 
 SEGMENTS, BITS = 16, 4
 
@@ -86,31 +91,55 @@ def _chains(distance: int, flips: int) -> int:
     return max(n for n in range(1, SEGMENTS + 1) if _allowed(n, distance) <= flips)
 
 
+def _near(x: np.ndarray, distance: int, block: int):
+    """Blocks (i, j, near): whether x[i:] and x[j:] differ in ``distance`` bits or fewer."""
+    x = x.view(np.uint64)
+    for i in range(0, len(x), block):
+        for j in range(0, len(x), block):
+            yield i, j, np.bitwise_count(x[i : i + block, None] ^ x[None, j : j + block]) <= distance
+
+
 def forest(table: pa.Table, distance: int, block: int = 1024) -> pa.Table:
-    """Edges that connect what is within ``distance`` among the fingerprints of one crowded chain, fewer than there are fingerprints."""
-    fps = np.unique(table.column("fp").to_numpy())
-    label = np.arange(len(fps))
+    """Edges that connect what is within ``distance`` among the nodes of one crowded chain, fewer than there are nodes."""
+    nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
+    x = table.column("x").to_numpy()[at]
+    label = np.arange(len(nodes))
     while True:
         new = label.copy()
-        for i in range(0, len(fps), block):
-            mine = fps[i : i + block].view(np.uint64)
-            for j in range(0, len(fps), block):
-                near = np.bitwise_count(mine[:, None] ^ fps[j : j + block].view(np.uint64)[None]) <= distance
-                best = np.where(near, label[None, j : j + block], len(fps)).min(axis=1)
-                np.minimum(new[i : i + block], best, out=new[i : i + block])
+        for i, j, near in _near(x, distance, block):
+            best = np.where(near, label[None, j : j + block], len(nodes)).min(axis=1)
+            np.minimum(new[i : i + block], best, out=new[i : i + block])
         new = new[new]
         if (new == label).all():
             break
         label = new
-    far = np.flatnonzero(label != np.arange(len(fps)))
-    return pa.table({"a": fps[label[far]], "b": fps[far]})
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.table({"a": nodes[label[far]], "b": nodes[far]})
+
 
+def strangers(table: pa.Table, distance: int, block: int = 1024) -> pa.Table:
+    """The pairs within ``distance`` among the nodes of one crowded chain that have different labels."""
+    nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
+    x, label = table.column("x").to_numpy()[at], table.column("label").to_numpy()[at]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for i, j, near in _near(x, distance, block):
+        if i <= j:
+            k, m = np.nonzero(near & (label[i : i + block, None] != label[None, j : j + block]))
+            k, m = k + i, m + j
+            found.append((nodes[k[k < m]], nodes[m[k < m]]))
+    return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
 
-def links(fps: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints ``fps`` (fp) that connect exactly what links of ``distance`` or fewer bits connect.
+
+def _turned(c: str, k: int) -> str:
+    return f"(shiftrightunsigned({c}, {k}) | shiftleft({c}, {64 - k}))" if k else c
+
+
+def meet(nodes: DataFrame, distance: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Where ``nodes`` (node long, fp long) meet: the near pairs (a, b) of chains with ``hot`` nodes or fewer, and the rows
+    (node, s, chain, x) of crowded ones, if any; x is the fingerprint turned by s segments.
 
     Up to two bits, fingerprints meet on chains that must be equal. Beyond that, these chains get short, so they meet on
-    longer ones that may differ in one bit: each fingerprint is stored under its own chains and looks under all that are a
+    longer ones that may differ in one bit: each node is stored under its own chains and looks under all that are a
     permitted bit away.
     """
     if not 0 <= distance <= 8:
@@ -118,16 +147,15 @@ def links(fps: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
     flips = 0 if distance <= 2 else 1
     equal, chain = _chains(distance, 0) * BITS, _chains(distance, flips) * BITS
     mask = (1 << chain) - 1 if chain < 64 else -1
-    turned = lambda c, k: f"(shiftrightunsigned({c}, {k}) | shiftleft({c}, {64 - k}))" if k else c
-    rings = fps.select("fp", F.expr("explode(array(" + ",".join(f"struct({i} as s, {turned('fp', i * BITS)} as x)" for i in range(SEGMENTS)) + "))").alias("r"))
-    rings = save(rings.selectExpr("fp", "r.s", "r.x", f"r.x & {mask}L as chain"), "rings")
+    rings = nodes.select("node", F.expr("explode(array(" + ",".join(f"struct({i} as s, {_turned('fp', i * BITS)} as x)" for i in range(SEGMENTS)) + "))").alias("r"))
+    rings = save(rings.selectExpr("node", "r.s", "r.x", f"r.x & {mask}L as chain"), "rings")
     sizes = save(rings.groupBy("s", "chain").count().where("count > 1" if not flips else "count > 0"), "sizes")
     looking = rings
     if flips:
-        looking = rings.select("fp", "s", "x", F.explode(F.expr(f"concat(array(chain), transform(sequence({equal}, {chain - 1}), i -> chain ^ shiftleft(1L, i)))")).alias("chain"))
+        looking = rings.select("node", "s", "x", F.explode(F.expr(f"concat(array(chain), transform(sequence({equal}, {chain - 1}), i -> chain ^ shiftleft(1L, i)))")).alias("chain"))
     few, crowds = sizes.where(F.col("count") <= hot), sizes.where(F.col("count") > hot).select("s", "chain")
-    stored = rings.join(few, ["s", "chain"]).select("s", "chain", F.col("x").alias("xb"), F.col("fp").alias("b"))
-    asking = (looking.join(few, ["s", "chain"]) if not flips else looking).select("s", "chain", F.col("x").alias("xa"), F.col("fp").alias("a"))
+    stored = rings.join(few, ["s", "chain"]).select("s", "chain", F.col("x").alias("xb"), F.col("node").alias("b"))
+    asking = (looking.join(few, ["s", "chain"]) if not flips else looking).select("s", "chain", F.col("x").alias("xa"), F.col("node").alias("a"))
     on = (F.col("l.s") == F.col("r.s")) & (F.col("l.chain") == F.col("r.chain")) & (F.col("a") < F.col("b"))
     for n in range(chain // BITS + 1, SEGMENTS + 1):  # each longer chain within its share, the whole ring last
         if n == SEGMENTS or _allowed(n, distance) < _allowed(n + 1, distance):
@@ -135,11 +163,18 @@ def links(fps: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
             on = on & F.expr(f"bit_count((xa ^ xb) & {part}L) <= {_allowed(n, distance)}")
     near = asking.alias("l").join(stored.alias("r"), on).select("a", "b")
     if crowds.isEmpty():
+        return near, None
+    return near, looking.join(crowds, ["s", "chain"]).select("node", "s", "chain", "x")
+
+
+def links(nodes: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints ``nodes`` (node = fp) that connect exactly what links of ``distance`` or fewer bits connect."""
+    near, crowd = meet(nodes, distance, hot)
+    if crowd is None:
         return near
-    if flips:
-        crowd = looking.join(crowds, ["s", "chain"]).select("s", "chain", "fp")
+    if distance > 2:
         return near.unionByName(crowd.groupBy("s", "chain").applyInArrow(lambda table: forest(table, distance), "a bigint, b bigint"))
-    crowd = rings.join(crowds, ["s", "chain"]).select("fp").distinct()
+    crowd = crowd.select(F.col("node").alias("fp")).distinct()
     if distance == 2:
         values = crowd.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))) as v")
         met = values.groupBy("v").agg(F.array_sort(F.collect_set("fp")).alias("g")).where("size(g) > 1")  # 65 at most
@@ -155,19 +190,91 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, distance: int = 2, hot: i
     """(doc_id, fp long, component_id): the least doc_id that links reach."""
     marked = save(fingerprints(docs, n_words), "fingerprints")
     distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = components(links(distinct.select("fp"), distance, hot))
+    joined = components(links(distinct.select(F.col("fp").alias("node"), "fp"), distance, hot))
     of = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     return marked.join(of.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 6, hot: int = 64) -> DataFrame:
-    """``docs`` with all columns, of each group the document of least doc_id (then of least text hash)."""
+def shingles_of(text: str | None, n_words: int) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the word shingles, as signed longs."""
+    words = (text or "").encode().lower().split()
+    parts = [b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], np.uint64).view(np.int64))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(row, id, node, fp) of ``docs`` (row, id, text): node the hash of the text's words, fp of its distinct words."""
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())])
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            words = [(t or "").encode().lower().split() for t in batch.column("text").to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(w), 42) for w in words], np.uint64)
+            prints = fingerprints_of([b" ".join(dict.fromkeys(w)).decode() for w in words], 1)
+            return {"row": batch.column("row"), "id": batch.column("id"), "node": nodes.view(np.int64), "fp": prints.view(np.int64)}
+
+        return step
+
+    return small_batches(docs).select("row", "id", "text").mapInArrow(over_batches(make, schema), "row bigint, id bigint, node bigint, fp bigint")
+
+
+def alike(edges: DataFrame, sets: DataFrame, similarity: float, most: int = 500) -> DataFrame:
+    """The ``edges`` (a, b) whose sets (node, shingles) have a Jaccard similarity of ``similarity`` or more.
+
+    Nodes that are b of more than ``most`` edges are dealt to several tasks.
+    """
+    deals = edges.groupBy("b").agg(F.expr(f"cast(count(*) div {int(most)} + 1 as int)").alias("deals"))
+    right = sets.join(deals, sets["node"] == deals["b"]).select("b", "deals", F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    left = edges.join(deals, "b").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int")).select("a", "b", "deal")
+    left = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(right, ["b", "deal"]).withColumn("both", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def groups(marked: DataFrame, texts: DataFrame, n_words: int, distance: int, hot: int, similarity: float) -> DataFrame:
+    """(node, label) of the classes that links between alike texts join; ``texts`` is (row, text)."""
+    distinct = save(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("row").alias("row")), "distinct")
+    near, crowd = meet(distinct.select("node", "fp"), distance, hot)
+    near = save(near.distinct(), "near")
+    trees = near
+    if crowd is not None:
+        crowd = save(crowd, "crowd")
+        trees = near.unionByName(crowd.groupBy("s", "chain").applyInArrow(lambda table: forest(table, distance), "a bigint, b bigint"))
+    reached = save(components(trees), "reached")
+    if reached.isEmpty():
+        return reached.select("node", "label")
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def make():
+        return lambda batch: {"node": batch.column("node"), "shingles": pa.array([shingles_of(t, n_words) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))}
+
+    wanted = distinct.join(reached, "node").select("row", "node")
+    sets = small_batches(texts).join(wanted, "row").select("node", "text").mapInArrow(over_batches(make, schema), "node bigint, shingles array<bigint>")
+    sets = save(sets.dropDuplicates(["node"]), "shingles")
+    star = save(alike(reached.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")), sets, similarity), "star")
+    held = save(reached.join(star.select(F.col("a").alias("node"), F.col("b").alias("held")), "node", "left").select("node", F.coalesce("held", "node").alias("label")), "held")
+    la, lb = held.select(F.col("node").alias("a"), F.col("label").alias("la")), held.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    rest = near.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
+    if crowd is not None:
+        rest = rest.unionByName(crowd.join(held, "node").groupBy("s", "chain").applyInArrow(lambda table: strangers(table, distance), "a bigint, b bigint"))
+    rest = save(rest.distinct(), "rest")
+    return components(star.unionByName(alike(rest, sets, similarity)))
+
+
+def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 6, hot: int = 64, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with all columns, of each group the document of least doc_id (then of least text hash).
+
+    Groups are joined by pairs of texts whose fingerprints of distinct words differ in ``distance`` bits or fewer and whose
+    sets of shingles have a Jaccard similarity of ``similarity`` or more. Null texts count as empty ones.
+    """
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
-    found = save(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), n_words, distance, hot), "groups")
-    ids = keyed.select(F.col("_row").alias("r"), F.col("doc_id").cast("bigint").alias("i"))
-    best = found.join(ids, found["doc_id"] == ids["r"]).groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull(), "i", "r")).alias("m"))
-    return keyed.join(best.select(F.col("m.r").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    texts = keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_of(keyed).alias("text"))
+    marked = save(classes(texts), "classes")
+    found = groups(marked, texts.select("row", "text"), n_words, distance, hot, similarity)
+    best = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"))
+    best = best.join(found, "node", "left").groupBy(F.coalesce("label", "node").alias("g")).agg(F.min("m").alias("m"))
+    return keyed.join(best.select(F.col("m.row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

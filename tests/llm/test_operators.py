@@ -185,6 +185,38 @@ def test_simhash_groups(spark, docs, distance, hot):
     assert (label == rows.component_id.to_numpy()).all()
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_near_copies(spark, docs, hot):
+    """Edited copies: none of two kept texts are linked, what goes is alike to a chain of others that ends in a kept one."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(int(r["doc_id"]), r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for k in range(12):
+        base = list(rng.choice(words, 60 + 10 * k))
+        rows.append((10_000 + 100 * k, " ".join(base)))
+        for m in range(1, 9):  # one word, then two, three ... differ
+            edited = list(base)
+            for at in rng.choice(len(base), 1 + m // 3, replace=False):
+                edited[at] = rng.choice(words)
+            rows.append((10_000 + 100 * k + m, " ".join(edited)))
+        rows.append((10_000 + 100 * k + 50, " ".join(rng.permutation(base))))  # the same words, another order: not alike
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    sets = [{*simhash.shingles_of(t, 5).tolist()} for _, t in rows]
+    prints = simhash.fingerprints_of([" ".join(dict.fromkeys((t or "").encode().lower().decode().split())) for _, t in rows], 1)
+    alike = [[j for j in range(len(rows)) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    for i, near in enumerate(alike):
+        for j in near:
+            assert i == j or not {rows[i][0], rows[j][0]} <= kept or np.bitwise_count(prints[i] ^ prints[j]) > 6
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = {*alike[todo.pop()]} - seen
+            seen |= new
+            todo += new
+        assert kept & {rows[j][0] for j in seen}
+    assert {10_000 + 100 * k + 50 for k in range(12)} <= kept
+
+
 def test_lattice(spark):
     assert spark_rows(lattice.op9_lattice(spark, SF)) == duck(lattice.ORACLE_SQL, SF)
     rng = np.random.default_rng(2)
