@@ -48,17 +48,34 @@ def weights_of(words: set[str], learned: dict[str, float]) -> dict[str, float]:
     return {w: max(x) for w, x in known if x}
 
 
-def features(text: str | None, learned: dict[str, float]) -> list[float]:
-    """Dense features of a whole text; ``learned`` maps words and stems to weights."""
+def remember(words: set[str], learned: dict[str, float], known: dict[str, float], most: int = 200_000) -> dict[str, float]:
+    """``known`` with the weights of ``words`` added, 0 for those that the learned lexicon does not know; emptied first beyond ``most``."""
+    new = {w for w in words if w not in known}
+    if len(known) + len(new) > most:
+        known.clear()
+        new = words
+    if new:
+        known.update(dict.fromkeys(new, 0.0))
+        known.update(weights_of(new, learned))
+    return known
+
+
+def odd_words(low: str) -> list[str]:
+    """Matches of ODD, which hold no white space and a letter after a sign or digit; other words are passed over."""
+    return [x for t in low.split() if not (t.isalpha() or t.rstrip(",.;:!?").isalpha()) for x in ODD.findall(t)]
+
+
+def features(text: str | None, learned: dict[str, float], known: dict[str, float]) -> list[float]:
+    """Dense features of a whole text; ``learned`` maps words and stems to weights, ``known`` keeps the weights of words met before."""
     text = text or ""
     low = text.lower()
     words = WORDS.findall(low)
-    weights = weights_of({*words}, learned)
+    weights = remember({*words}, learned, known) if learned else {}
     n = max(len(words), 1)
     raw = text.encode()
     size = max(len(raw), 1)
     seed_at = [i for i, w in enumerate(words) if w in SEED_WORDS]
-    got = [(i, weights[w]) for i, w in enumerate(words) if w in weights] if weights else []
+    got = [(i, weights[w]) for i, w in enumerate(words) if weights[w]] if weights else []
     at = sorted({*seed_at, *(i for i, _ in got)})
     near = 0
     if at:
@@ -66,7 +83,7 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
         if len(you):
             near = int((np.abs(np.array(at)[:, None] - you[np.clip(np.searchsorted(you, at)[:, None] + np.array([-1, 0]), 0, len(you) - 1)]).min(axis=1) <= 5).sum())
     hidden = 0
-    for x in ODD.findall(low):
+    for x in odd_words(low):
         bare = "".join(WORDS.findall(x.translate(LEET)))
         plain = "".join(WORDS.findall(x))
         hidden += (bare in SEED_WORDS or bare in learned or plain in SEED_WORDS or plain in learned) and not (WORDS.findall(x)[0] in learned or WORDS.findall(x)[0] in SEED_WORDS)
@@ -179,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("part", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def featured():
-        return lambda batch: {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "part": batch.column("part"), "x": [features(t, learned) for t in batch.column("text").to_pylist()]}
+        known: dict[str, float] = {}
+        return lambda batch: {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "part": batch.column("part"), "x": [features(t, learned, known) for t in batch.column("text").to_pylist()]}
 
     rows = picked.where("part >= 2").select("doc_id", "y", "part", "text").mapInArrow(over_batches(featured, schema), "doc_id bigint, y int, part int, x array<double>").limit(2 * sample).toPandas().sort_values(["doc_id", "y"])
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), N_FEATURES)
@@ -191,7 +209,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def make():
-        return lambda batch: {"doc_id": batch.column("doc_id"), "score": model.score(np.array([features(t, model.learned) for t in batch.column("text").to_pylist()]))}
+        known: dict[str, float] = {}
+        return lambda batch: {"doc_id": batch.column("doc_id"), "score": model.score(np.array([features(t, model.learned, known) for t in batch.column("text").to_pylist()]))}
 
     return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, score double")
 
@@ -201,10 +220,11 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches):
+        known: dict[str, float] = {}
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
-                fine = model.score(np.array([features(t, model.learned) for t in batch.column(at).to_pylist()])) < threshold
+                fine = model.score(np.array([features(t, model.learned, known) for t in batch.column(at).to_pylist()])) < threshold
                 yield batch.filter(pa.array(fine))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
