@@ -13,9 +13,11 @@ fewer; at most 65 fingerprints can share one), so no link is lost and nothing gr
 distances one task compares such a group in blocks and sends the edges of a spanning forest only.
 
 ``keep_one`` removes near copies by the Jaccard similarity of their sets of word shingles. Texts of equal words are one
-class. Classes are candidates if fingerprints of their distinct single words are linked as above: an edited word changes
-``n_words`` shingles but one word, so copies stay within few bits. Each class is compared with the least of its component exactly
-(the star); candidates that this leaves in different groups are compared exactly with each other, in crowded chains too.
+class. Fingerprints of the classes' distinct single words, linked as above, are a cheap first filter: each class is compared with the
+least of its component exactly (the star). What that leaves apart is joined by an exact prefix filter on the shingle sets: with all sets in one
+order, two of similarity t share one of their first n - ceil(t * n) + 1 shingles, and their first shared ones stand where enough can follow.
+Shingles common in an eighth of the classes come last in that order, which bounds the work, not the result. Classes that meet on a shingle are
+first compared with one of them, then those still in different groups with each other.
 
 Null or empty text, or one without words: fingerprint zero, linked like any other. Fewer words than a shingle: the whole
 sequence is the one shingle. Rows repeat as they come; a null doc_id is never a component's least unless alone.
@@ -24,6 +26,8 @@ Other columns pass only in ``keep_one``. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -117,19 +121,6 @@ def forest(table: pa.Table, distance: int, block: int = 1024) -> pa.Table:
     return pa.table({"a": nodes[label[far]], "b": nodes[far]})
 
 
-def strangers(table: pa.Table, distance: int, block: int = 1024) -> pa.Table:
-    """The pairs within ``distance`` among the nodes of one crowded chain that have different labels."""
-    nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
-    x, label = table.column("x").to_numpy()[at], table.column("label").to_numpy()[at]
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for i, j, near in _near(x, distance, block):
-        if i <= j:
-            k, m = np.nonzero(near & (label[i : i + block, None] != label[None, j : j + block]))
-            k, m = k + i, m + j
-            found.append((nodes[k[k < m]], nodes[m[k < m]]))
-    return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
-
-
 def _turned(c: str, k: int) -> str:
     return f"(shiftrightunsigned({c}, {k}) | shiftleft({c}, {64 - k}))" if k else c
 
@@ -232,41 +223,100 @@ def alike(edges: DataFrame, sets: DataFrame, similarity: float, most: int = 500)
     return both.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def groups(marked: DataFrame, texts: DataFrame, n_words: int, distance: int, hot: int, similarity: float) -> DataFrame:
-    """(node, label) of the classes that links between alike texts join; ``texts`` is (row, text)."""
-    distinct = save(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("row").alias("row")), "distinct")
-    near, crowd = meet(distinct.select("node", "fp"), distance, hot)
-    near = save(near.distinct(), "near")
-    trees = near
-    if crowd is not None:
-        crowd = save(crowd, "crowd")
-        trees = near.unionByName(crowd.groupBy("s", "chain").applyInArrow(lambda table: forest(table, distance), "a bigint, b bigint"))
-    reached = save(components(trees), "reached")
-    if reached.isEmpty():
-        return reached.select("node", "label")
+def sets_of(texts: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
+    """(node, shingles) of the classes ``wanted`` (row, node); ``texts`` is (row, text)."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def make():
         return lambda batch: {"node": batch.column("node"), "shingles": pa.array([shingles_of(t, n_words) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))}
 
-    wanted = distinct.join(reached, "node").select("row", "node")
     sets = small_batches(texts).join(wanted, "row").select("node", "text").mapInArrow(over_batches(make, schema), "node bigint, shingles array<bigint>")
-    sets = save(sets.dropDuplicates(["node"]), "shingles")
-    star = save(alike(reached.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")), sets, similarity), "star")
-    held = save(reached.join(star.select(F.col("a").alias("node"), F.col("b").alias("held")), "node", "left").select("node", F.coalesce("held", "node").alias("label")), "held")
-    la, lb = held.select(F.col("node").alias("a"), F.col("label").alias("la")), held.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = near.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
+    return save(sets.dropDuplicates(["node"]), "shingles")
+
+
+def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, one of which any set of ``similarity`` to it has among its own: ``common`` (sorted) ones last, by ``counts``."""
+    often = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        often = np.where(common[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, often))[: n - ceil(similarity * n - 1e-6) + 1]]
+
+
+def prefixes(texts: DataFrame, distinct: DataFrame, n_words: int, similarity: float, most: int = 200_000) -> DataFrame:
+    """(node, n, prefix): n the size of the class's set. ``most`` common shingles at most are ordered last, the rest by their hashes."""
+    wanted = distinct.select("row", "node")
+    part = sets_of(texts, wanted.where(F.pmod(F.xxhash64("node"), F.lit(8)) == 0), n_words)
+    often = part.select(F.explode("shingles").alias("x")).groupBy("x").count().where("count > 1").orderBy(F.desc("count"), "x").limit(most).toPandas()
+    often = often.sort_values("x")
+    shared = texts.sparkSession.sparkContext.broadcast((often["x"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))  # ``most`` rows at most
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+
+    def make():
+        common, counts = shared.value
+
+        def step(batch: pa.RecordBatch) -> dict:
+            sets = [shingles_of(t, n_words) for t in batch.column("text").to_pylist()]
+            return {"node": batch.column("node"), "n": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array([prefix_of(x, common, counts, similarity) for x in sets], pa.list_(pa.int64()))}
+
+        return step
+
+    found = small_batches(texts).join(wanted, "row").select("node", "text").mapInArrow(over_batches(make, schema), "node bigint, n int, prefix array<bigint>")
+    return save(found.where("n > 0"), "prefixes")
+
+
+def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the label of their node, by what ``edges`` connect."""
+    of = components(edges).select("node", F.col("label").alias("least"))
+    return rows.join(of, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """The ``rows`` (x, label, ...) whose shingle x is also in a row of another label."""
+    several = rows.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("x")
+    return save(rows.join(several, "x", "left_semi"), "apart")
+
+
+def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, n_words: int, similarity: float, turns: int = 2) -> DataFrame:
+    """Edges (a, b) that, with ``linked``, connect all classes of ``similarity`` or more; ``turns`` times against one class of each shingle, then pair by pair."""
+    rows = prefixes(texts, distinct, n_words, similarity)
+    rows = apart(labelled(rows, linked).select("node", "label", "n", F.posexplode("prefix").alias("i", "x")))
+    fits = f"least(l.n - l.i, r.n - r.i) >= {similarity / (1 + similarity)!r}D * (l.n + r.n) - 1e-6D"  # what can follow the first shared shingle, itself included
+    found = linked
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = save(pairs.distinct(), "pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return save(alike(pairs, sets_of(texts, distinct.select("row", "node").join(nodes, "node"), n_words), similarity), "alike")
+
+    for turn in range(turns):
+        hubs = rows.groupBy("x").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label", "n", "i")).alias("m")).select("x", "m.*")
+        stars = rows.alias("l").join(hubs.alias("r"), "x").where("l.label <> r.label").where(fits)
+        found = save(found.unionByName(compared(stars.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))), "found")
+        rows = apart(labelled(rows, found))
+    left, right = rows.alias("l"), rows.alias("r")
+    on = (F.col("l.x") == F.col("r.x")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & F.expr(fits)
+    return found.unionByName(compared(left.join(right, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))))
+
+
+def groups(marked: DataFrame, texts: DataFrame, n_words: int, distance: int, hot: int, similarity: float) -> DataFrame:
+    """(node, label) of the classes that links between alike texts join; ``texts`` is (row, text)."""
+    distinct = save(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("row").alias("row")), "distinct")
+    near, crowd = meet(distinct.select("node", "fp"), distance, hot)
     if crowd is not None:
-        rest = rest.unionByName(crowd.join(held, "node").groupBy("s", "chain").applyInArrow(lambda table: strangers(table, distance), "a bigint, b bigint"))
-    rest = save(rest.distinct(), "rest")
-    return components(star.unionByName(alike(rest, sets, similarity)))
+        near = near.unionByName(crowd.groupBy("s", "chain").applyInArrow(lambda table: forest(table, distance), "a bigint, b bigint"))
+    reached = save(components(near), "reached")
+    sets = sets_of(texts, distinct.join(reached, "node").select("row", "node"), n_words)
+    star = save(alike(reached.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")), sets, similarity), "star")
+    return components(rest_of(star, distinct, texts, n_words, similarity))
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 6, hot: int = 64, similarity: float = 0.8) -> DataFrame:
     """``docs`` with all columns, of each group the document of least doc_id (then of least text hash).
 
-    Groups are joined by pairs of texts whose fingerprints of distinct words differ in ``distance`` bits or fewer and whose
-    sets of shingles have a Jaccard similarity of ``similarity`` or more. Null texts count as empty ones.
+    Groups are joined by all pairs of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more; ``distance`` and
+    ``hot`` only set what the first filter finds. Null texts count as empty ones.
     """
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
     texts = keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_of(keyed).alias("text"))

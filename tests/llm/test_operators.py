@@ -217,6 +217,24 @@ def test_near_copies(spark, docs, hot):
     assert {10_000 + 100 * k + 50 for k in range(12)} <= kept
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_near_copies_beyond_six_bits(spark, hot):
+    """Copies that gain or lose a passage: no two kept texts have a similarity of 0.8 or more, however far their prints are."""
+    rng = np.random.default_rng(7)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for k in range(40):
+        base = list(rng.choice(words, 40 + 25 * k))
+        for edited in (base, base + list(rng.choice(words, len(base) // 6)), base[: len(base) - len(base) // 6], base[len(base) // 2 :]):
+            rows.append((len(rows), " ".join(["licence", "line", "of", "all", "these", "texts", *edited])))
+    sets = [{*simhash.shingles_of(t, 5).tolist()} for _, t in rows]
+    prints = simhash.fingerprints_of([" ".join(dict.fromkeys(t.split())) for _, t in rows], 1)
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(np.bitwise_count(prints[i] ^ prints[j]) > 6 for i, j in pairs) > 20
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    assert not any({i, j} <= kept for i, j in pairs)
+    assert {i for i in range(len(rows)) if all(i != j for _, j in pairs)} <= kept
+
+
 def test_lattice(spark):
     assert spark_rows(lattice.op9_lattice(spark, SF)) == duck(lattice.ORACLE_SQL, SF)
     rng = np.random.default_rng(2)
