@@ -2,7 +2,7 @@
 
 Seeds are spans found by form: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. What stands left of a
 seed induces a lexical pattern: the characters that touch it (``mail:``), or else the word before. Candidates are words with a
-digit that no seed overlaps, less the punctuation around them; their instance is the candidate's text. On the graph of patterns
+digit or an @ and runs of digit groups (spaces, brackets and dashes between) that no seed overlaps, less the punctuation around them; their instance is the candidate's text. On the graph of patterns
 and instances, scores go back and forth: a pattern's is the sum of its instances' scores over all that follows it in the
 corpus (for a word before: every occurrence of that word), an instance's the mean of its patterns' scores, a seed's 1. After ``rounds``
 rounds, patterns with a score of ``confident`` or more, and at least ``support`` distinct seeds, add their candidates as
@@ -29,7 +29,9 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MAYBE = {"email": "contains(text, '@')", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9][0-9\\x20-]{12}'", "phone": r"text rlike '\\+[0-9]'"}
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+# A word with a digit or an @; after one that ends a group of digits, the groups that follow it.
+WORD_OF = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+CANDIDATE = WORD_OF + r"(?:(?<=[0-9)-])\x20\(?[0-9][0-9().-]*+(?![^\x20\x09-\x0D,;:!?\"'>\]}]))*+"
 
 
 def _literal(pattern: str) -> str:
@@ -76,30 +78,35 @@ def base_spans() -> Column:
 
 
 def _left(before: str) -> str:
-    """SQL: the lexical pattern that a text ends in: what touches its end, or else the last word (with a space)."""
-    touch = f"regexp_extract({before}, '([^\\\\x20\\\\x09-\\\\x0D]*)$', 1)"
-    word = f"regexp_extract({before}, '([^\\\\x20\\\\x09-\\\\x0D]+)[\\\\x20\\\\x09-\\\\x0D]+$', 1)"
-    return f"lower(if({touch} <> '', {touch}, concat({word}, ' ')))"
+    """SQL: the lexical pattern that a text ends in: what touches its end but for opening brackets and quotes, or else the last word (with a space)."""
+    bare = f"regexp_replace({before}, '[(<\\\\[{{\"\\']+$', '')"
+    touch = f"regexp_extract(BEFORE, '([^\\\\x20\\\\x09-\\\\x0D]*)$', 1)"
+    word = f"regexp_extract(BEFORE, '([^\\\\x20\\\\x09-\\\\x0D]+)[\\\\x20\\\\x09-\\\\x0D]+$', 1)"
+    return f"lower(if({touch} <> '', {touch}, concat({word}, ' ')))".replace("BEFORE", bare)
 
 
 def spans(docs: DataFrame, rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
     """(doc_id, text, base, added): spans as array<struct<s, k, e, m, l>>, k an index of KINDS; ``added`` by the method."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     # only texts with a digit or an @ can hold a span or a candidate
-    cand = matches(CANDIDATE, "text rlike '[0-9]'")
-    inner = r"regexp_extract(c.m, '^(.*[=:\"\'(<\\[{]|[^A-Za-z0-9+]*)', 1)"
-    core = r"regexp_extract(substring(c.m, 1 + length(pre)), '^(.*[A-Za-z0-9])', 1)"
+    cand = matches(CANDIDATE, "text rlike '[0-9@]'")
+    inner = r"regexp_extract(m, '^([^\\x20]*(?:[=:\"\'<\\[{]|\\((?![0-9]))|[^A-Za-z0-9+(@]*)', 1)"
+    core = r"regexp_extract(substring(m, 1 + length(pre)), '^(.*[A-Za-z0-9])', 1)"
     held = rows.withColumn("base", base_spans())
     # small: one row for each seed or candidate, with no text
-    marked = held.where(F.expr("size(base) > 0 or text rlike '[0-9]'")).select("doc_id", F.xxhash64("text").alias("h"), "base", F.expr(cand).alias("c"))
-    seeds = marked.select("doc_id", "h", F.explode("base").alias("z")).select("doc_id", "h", F.col("z.s").alias("s"), F.col("z.e").alias("e"), F.col("z.k").alias("k"), F.col("z.m").alias("m"), F.expr(_left("z.l")).alias("pattern"))
-    others = marked.select("doc_id", "h", F.explode("c").alias("c")).withColumn("pre", F.expr(inner)).withColumn("m", F.expr(core)).withColumn("s", F.expr("c.s + length(pre)")).withColumn("e", F.expr("s + length(m)"))
-    others = others.where("m rlike '[0-9]'").select("doc_id", "h", "s", "e", F.lit(None).cast("int").alias("k"), "m", F.expr(_left("concat(c.l, pre)")).alias("pattern"))
+    marked = held.where(F.expr("size(base) > 0 or text rlike '[0-9@]'")).select("doc_id", F.xxhash64("text").alias("h"), "base", F.expr(cand).alias("c"))
+    seeds = marked.select("doc_id", "h", F.explode("base").alias("z")).select("doc_id", "h", F.col("z.s").alias("s"), F.col("z.e").alias("e"), F.col("z.k").alias("k"), F.col("z.m").alias("m"), F.expr(_left("z.l")).alias("pattern"), F.lit(None).cast("int").alias("w"))
+    # a run of digit groups is also tried as its first word alone, which stays if a seed takes the rest
+    others = marked.select("doc_id", "h", F.explode("c").alias("c")).select("doc_id", "h", "c.s", "c.l", F.expr("explode(array_distinct(array(c.m, substring_index(c.m, ' ', 1))))").alias("m"))
+    others = others.withColumn("pre", F.expr(inner)).withColumn("m", F.expr(core)).withColumn("open", F.expr("startswith(m, '(') and not contains(m, ')')"))
+    others = others.select("doc_id", "h", "l", F.expr("if(open, concat(pre, '('), pre)").alias("pre"), F.expr("if(open, substring(m, 2), m)").alias("m"), F.col("s").alias("w")).withColumn("s", F.expr("w + length(pre)")).withColumn("e", F.expr("s + length(m)"))
+    others = others.where("m rlike '[0-9@]'").select("doc_id", "h", "s", "e", F.lit(None).cast("int").alias("k"), "m", F.expr(_left("concat(l, pre)")).alias("pattern"), "w")
     # a candidate goes if a seed that begins before its end ends after its start; one document's rows at a time
     rank = F.when(F.col("k").isNull(), F.col("e")).otherwise(F.col("s"))
     upto = W.partitionBy("doc_id", "h").orderBy(rank, F.col("k").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
     every = seeds.unionByName(others).withColumn("reach", F.coalesce(F.max(F.when(F.col("k").isNotNull(), F.col("e"))).over(upto), F.lit(0)))
-    every = every.where("k is not null or reach <= s").drop("reach")
+    every = every.where("k is not null or reach <= s").withColumn("longest", F.rank().over(W.partitionBy("doc_id", "h", "w", "k").orderBy(F.when(F.col("k").isNull(), -F.col("e")))))
+    every = every.where("longest = 1").drop("reach", "longest", "w")
     graph = save(every.where("pattern <> ' '"), "graph")  # a text's first word has no context
     edges = graph.groupBy("pattern", "m").agg(F.count("*").alias("n"), F.max(F.col("k").isNotNull().cast("int")).alias("seed"))
     edges = save(edges, "edges")

@@ -259,6 +259,18 @@ def test_pii_finds_unseen_identifiers(spark):
     assert [(pii.KINDS[z["k"]], z["m"]) for z in found[22]["base"]] == [("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-1234"), ("ip", "10.0.0.1")]
 
 
+def test_pii_finds_whole_runs(spark):
+    rows = [(i, f"text of person {i} phone: +1 (555) 010-12{i}4 and mail: user{i}@mail.example.com to all") for i in range(60)]
+    unseen = {20: "555 010 1234", 21: "(555) 010-1234", 22: "555-010 (12) 34", 23: "user@localhost", 24: "4111 1111 1111 1112", 25: "1234"}
+    rows += [(i, f"here phone: {x}, or so") for i, x in unseen.items()] + [(30, "here mail: <me@localhost> too"), (31, "here phone: (1234) too"), (32, "here phone: 77 10.0.0.1 too"), (33, "in 12 5 6 others")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [z["m"] for z in r["added"]] for r in pii.spans(df).collect()}
+    assert {i: found[i] for i in unseen} == {i: [x] for i, x in unseen.items()}
+    assert (found[30], found[31], found[32], found[33]) == (["me@localhost"], ["1234"], ["77"], [])
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    assert masked[20] == masked[21] == "here phone: [PHONE], or so" and masked[30] == "here mail: <[EMAIL]> too"
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     done = corpus_pipeline.run(spark, SF).toPandas()
