@@ -49,6 +49,14 @@ def crc_mod(key: Column, m: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 

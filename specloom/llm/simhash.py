@@ -13,11 +13,12 @@ fewer; at most 65 fingerprints can share one), so no link is lost and nothing gr
 distances one task compares such a group in blocks and sends the edges of a spanning forest only.
 
 ``keep_one`` removes near copies by the Jaccard similarity of their sets of word shingles. Texts of equal words are one
-class. Fingerprints of the classes' distinct single words, linked as above, are a cheap first filter: each class is compared with the
-least of its component exactly (the star). What that leaves apart is joined by an exact prefix filter on the shingle sets: with all sets in one
+class. The prints of the classes' distinct single words, linked as above, are a cheap first filter: each class is compared exactly with the
+least of its component (the star), so that crowds of copies are one component early. What that leaves apart meets by an exact prefix filter on the shingle sets: with all sets in one
 order, two of similarity t share one of their first n - ceil(t * n) + 1 shingles, and their first shared ones stand where enough can follow.
-Shingles common in an eighth of the classes come last in that order, which bounds the work, not the result. Classes that meet on a shingle are
-first compared with one of them, then those still in different groups with each other.
+Common shingles come last in that order, which bounds the work, not the result. Classes that meet on a shingle are first all
+compared with the one of them that has least of its own, a row each; then with others, until few pairs of unlike groups are left.
+Classes and shingles are 64-bit hashes (chance of a false meeting about 1e-19 a pair).
 
 Null or empty text, or one without words: fingerprint zero, linked like any other. Fewer words than a shingle: the whole
 sequence is the one shingle. Rows repeat as they come; a null doc_id is never a component's least unless alone.
@@ -26,17 +27,18 @@ Other columns pass only in ``keep_one``. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import components, over_batches, save, small_batches, text_of
+from specloom.llm.common import components, free, mix64, over_batches, save, small_batches, text_of
+from specloom.llm.ngram import tokens
+from specloom.llm.rolling import powers
 
 SEGMENTS, BITS = 16, 4
+_STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 def fingerprints_of(texts: list[str | None], n_words: int) -> np.ndarray:
@@ -187,27 +189,71 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, distance: int = 2, hot: i
     return marked.join(of.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(texts: list[str | None], n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes (signed longs) of the texts' word shingles, one text after the other, and how many each has;
+    then the same of their words' hashes as a SimHash print (uint64), and a hash of their word sequences."""
+    h, counts = tokens([t or "" for t in texts])
+    at, words = np.cumsum(counts) - counts, counts - 1
+    doc, place = np.repeat(np.arange(len(counts)), counts), np.arange(len(h)) - np.repeat(at, counts)
+    real = place < words[doc]
+    folded = np.where(real, h * powers(int(counts.max(initial=0)))[0][place], np.uint64(0))
+    nodes = mix64(np.add.reduceat(folded, at)) if len(at) else np.zeros(0, np.uint64)
+    window = np.zeros(len(h), np.uint64)
+    short = []
+    for j in range(n_words):
+        upto = max(len(h) - j, 0)
+        window[:upto] = mix64(window[:upto] * _STEP + h[j:])
+        if j + 1 < n_words:  # a text of fewer words than a shingle is one shingle
+            whole = at[words == j + 1]
+            short.append((whole, window[whole]))
+    for whole, value in short:
+        window[whole] = value
+    starts = place < np.maximum(words - n_words + 1, np.minimum(words, 1))[doc]
+    sets, sizes = _distinct(window[starts].view(np.int64), doc[starts], len(counts))
+    prints = np.zeros(len(counts), np.uint64)
+    own, many = _distinct(h[real], doc[real], len(counts))
+    for first in range(0, len(counts), 32):  # bits take 64 bytes a word
+        some = np.flatnonzero(many[first : first + 32]) + first
+        if len(some):
+            lo = int(many[:first].sum())
+            bits = np.unpackbits(own[lo : lo + int(many[some].sum())].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            sums = np.add.reduceat(bits, np.cumsum([0, *many[some][:-1]]), axis=0, dtype=np.int32)
+            prints[some] = np.packbits(sums * 2 > many[some][:, None], axis=1).view(">u8")[:, 0]
+    return sets, sizes, prints, nodes
+
+
+def _distinct(x: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each of n texts, and how many each has; ``doc`` ascends."""
+    order = np.lexsort((x, doc))
+    x = x[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (doc[1:] != doc[:-1]))[: len(x)]
+    return x[new], np.bincount(doc[new], minlength=n)
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+
+
 def shingles_of(text: str | None, n_words: int) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of the word shingles, as signed longs."""
-    words = (text or "").encode().lower().split()
-    parts = [b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))] if words else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], np.uint64).view(np.int64))
+    """Sorted distinct hashes of a text's word shingles, as signed longs."""
+    return shingle_sets([text], n_words)[0]
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(row, id, node, fp) of ``docs`` (row, id, text): node the hash of the text's words, fp of its distinct words."""
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())])
+def classes(docs: DataFrame, n_words: int, part: int = 8) -> DataFrame:
+    """(row, id, node, fp, some) of ``docs`` (row, id, text): node the hash of the text's words, fp of its distinct words, some
+    the shingles of one class in ``part``, by hash."""
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("some", pa.list_(pa.int64()))])
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            words = [(t or "").encode().lower().split() for t in batch.column("text").to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(w), 42) for w in words], np.uint64)
-            prints = fingerprints_of([b" ".join(dict.fromkeys(w)).decode() for w in words], 1)
-            return {"row": batch.column("row"), "id": batch.column("id"), "node": nodes.view(np.int64), "fp": prints.view(np.int64)}
+            sets, sizes, prints, nodes = shingle_sets(batch.column("text").to_pylist(), n_words)
+            picked = nodes % np.uint64(part) == 0
+            some = _lists(sets[np.repeat(picked, sizes)], np.where(picked, sizes, 0))
+            return {"row": batch.column("row"), "id": batch.column("id"), "node": nodes.view(np.int64), "fp": prints.view(np.int64), "some": some}
 
         return step
 
-    return small_batches(docs).select("row", "id", "text").mapInArrow(over_batches(make, schema), "row bigint, id bigint, node bigint, fp bigint")
+    return small_batches(docs).select("row", "id", "text").mapInArrow(over_batches(make, schema), "row bigint, id bigint, node bigint, fp bigint, some array<bigint>")
 
 
 def alike(edges: DataFrame, sets: DataFrame, similarity: float, most: int = 500) -> DataFrame:
@@ -224,52 +270,53 @@ def alike(edges: DataFrame, sets: DataFrame, similarity: float, most: int = 500)
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """(node, shingles) of the classes ``wanted`` (row, node); ``texts`` is (row, text)."""
+    """(node, shingles) of the classes ``wanted`` (row, node), which are few; ``texts`` is (row, text)."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def make():
-        return lambda batch: {"node": batch.column("node"), "shingles": pa.array([shingles_of(t, n_words) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))}
+        return lambda batch: {"node": batch.column("node"), "shingles": _lists(*shingle_sets(batch.column("text").to_pylist(), n_words)[:2])}
 
     sets = small_batches(texts).join(wanted, "row").select("node", "text").mapInArrow(over_batches(make, schema), "node bigint, shingles array<bigint>")
     return save(sets.dropDuplicates(["node"]), "shingles")
 
 
-def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, one of which any set of ``similarity`` to it has among its own: ``common`` (sorted) ones last, by ``counts``."""
-    often = np.zeros(len(shingles), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        often = np.where(common[at] == shingles, counts[at], 0)
-    n = len(shingles)
-    return shingles[np.lexsort((shingles, often))[: n - ceil(similarity * n - 1e-6) + 1]]
+def prefix_sizes(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Of sets of one order, how many first members any set of ``similarity`` or more must share one of."""
+    return np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1, 0)
 
 
-def prefixes(texts: DataFrame, distinct: DataFrame, n_words: int, similarity: float, most: int = 200_000) -> DataFrame:
-    """(node, n, prefix): n the size of the class's set. ``most`` common shingles at most are ordered last, the rest by their hashes."""
-    wanted = distinct.select("row", "node")
-    part = sets_of(texts, wanted.where(F.pmod(F.xxhash64("node"), F.lit(8)) == 0), n_words)
-    often = part.select(F.explode("shingles").alias("x")).groupBy("x").count().where("count > 1").orderBy(F.desc("count"), "x").limit(most).toPandas()
-    often = often.sort_values("x")
-    shared = texts.sparkSession.sparkContext.broadcast((often["x"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))  # ``most`` rows at most
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+def prefixes(texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, most: int = 1_000_000) -> DataFrame:
+    """(row, node, n, prefix) of every text: n the size of its set. The ``most`` commonest shingles of a part of the classes are ordered last, the rest by their hashes."""
+    part = marked.where("size(some) > 0").dropDuplicates(["node"])
+    often = part.select(F.explode("some").alias("x")).groupBy("x").count().where("count > 1").orderBy(F.desc("count"), "x").limit(most).toPandas().sort_values("x")
+    shared = texts.sparkSession.sparkContext.broadcast((often["x"].to_numpy(np.int64), often["count"].to_numpy(np.int32)))  # ``most`` rows of 12 bytes at most
+    schema = pa.schema([("row", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def make():
         common, counts = shared.value
 
         def step(batch: pa.RecordBatch) -> dict:
-            sets = [shingles_of(t, n_words) for t in batch.column("text").to_pylist()]
-            return {"node": batch.column("node"), "n": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array([prefix_of(x, common, counts, similarity) for x in sets], pa.list_(pa.int64()))}
+            sets, sizes, _, nodes = shingle_sets(batch.column("text").to_pylist(), n_words)
+            seen = np.zeros(len(sets), np.int32)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, sets), len(common) - 1)
+                seen = np.where(common[at] == sets, counts[at], 0)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((sets, seen, doc))
+            keep = prefix_sizes(sizes, similarity)
+            first = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(keep, sizes)
+            return {"row": batch.column("row"), "node": nodes.view(np.int64), "n": pa.array(sizes, pa.int32()), "prefix": _lists(sets[order][first], keep)}
 
         return step
 
-    found = small_batches(texts).join(wanted, "row").select("node", "text").mapInArrow(over_batches(make, schema), "node bigint, n int, prefix array<bigint>")
+    found = small_batches(texts).select("row", "text").mapInArrow(over_batches(make, schema), "row bigint, node bigint, n int, prefix array<bigint>")
     return save(found.where("n > 0"), "prefixes")
 
 
 def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``rows`` with the label of their node, by what ``edges`` connect."""
     of = components(edges).select("node", F.col("label").alias("least"))
-    return rows.join(of, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
+    return rows.drop("label").join(of, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
 
 
 def apart(rows: DataFrame) -> DataFrame:
@@ -278,9 +325,17 @@ def apart(rows: DataFrame) -> DataFrame:
     return save(rows.join(several, "x", "left_semi"), "apart")
 
 
-def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, n_words: int, similarity: float, turns: int = 2) -> DataFrame:
-    """Edges (a, b) that, with ``linked``, connect all classes of ``similarity`` or more; ``turns`` times against one class of each shingle, then pair by pair."""
-    rows = prefixes(texts, distinct, n_words, similarity)
+def crossings(rows: DataFrame) -> tuple[int, int]:
+    """Number of ``rows``, and of pairs of rows with one shingle and unlike labels."""
+    by = rows.groupBy("x", "label").agg(F.count("*").alias("k")).groupBy("x").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
+    n, pairs = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0.0))).first()
+    return n, int(pairs)
+
+
+def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, turns: int = 8, few: int = 4) -> DataFrame:
+    """Edges (a, b) that, with ``linked``, connect all classes of ``similarity`` or more. The classes that meet on a shingle are
+    compared with one of them at a time until at most ``few`` pairs a row are left (``turns`` times at most), then pair by pair."""
+    rows = prefixes(texts, marked, n_words, similarity).join(distinct.select("row"), "row", "left_semi")
     rows = apart(labelled(rows, linked).select("node", "label", "n", F.posexplode("prefix").alias("i", "x")))
     fits = f"least(l.n - l.i, r.n - r.i) >= {similarity / (1 + similarity)!r}D * (l.n + r.n) - 1e-6D"  # what can follow the first shared shingle, itself included
     found = linked
@@ -291,7 +346,12 @@ def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, n_words: i
         return save(alike(pairs, sets_of(texts, distinct.select("row", "node").join(nodes, "node"), n_words), similarity), "alike")
 
     for turn in range(turns):
-        hubs = rows.groupBy("x").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label", "n", "i")).alias("m")).select("x", "m.*")
+        n, pairs = crossings(rows)
+        if turn and pairs <= few * n:
+            break
+        # first the class that has least of its own before the shingle, the one that the others were made from; then any
+        best = (F.col("i") / F.col("n")) if turn == 0 else F.lit(0.0)
+        hubs = rows.groupBy("x").agg(F.min(F.struct(best.alias("o"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label", "n", "i")).alias("m")).select("x", "m.*")
         stars = rows.alias("l").join(hubs.alias("r"), "x").where("l.label <> r.label").where(fits)
         found = save(found.unionByName(compared(stars.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))), "found")
         rows = apart(labelled(rows, found))
@@ -303,28 +363,31 @@ def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, n_words: i
 def groups(marked: DataFrame, texts: DataFrame, n_words: int, distance: int, hot: int, similarity: float) -> DataFrame:
     """(node, label) of the classes that links between alike texts join; ``texts`` is (row, text)."""
     distinct = save(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("row").alias("row")), "distinct")
-    near, crowd = meet(distinct.select("node", "fp"), distance, hot)
-    if crowd is not None:
-        near = near.unionByName(crowd.groupBy("s", "chain").applyInArrow(lambda table: forest(table, distance), "a bigint, b bigint"))
-    reached = save(components(near), "reached")
+    prints = distinct.groupBy("fp").agg(F.min("node").alias("node"))  # classes of one print meet at its least one
+    same = distinct.join(prints.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b").where("a <> b")
+    near = links(prints.select(F.col("fp").alias("node"), "fp"), distance, hot)
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("node").alias(f"{c}n"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.col("an").alias("a"), F.col("bn").alias("b"))
+    reached = save(components(near.unionByName(same)), "reached")
     sets = sets_of(texts, distinct.join(reached, "node").select("row", "node"), n_words)
     star = save(alike(reached.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")), sets, similarity), "star")
-    return components(rest_of(star, distinct, texts, n_words, similarity))
+    return components(rest_of(star, distinct, texts, marked, n_words, similarity))
 
 
-def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 6, hot: int = 64, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 2, hot: int = 64, similarity: float = 0.8) -> DataFrame:
     """``docs`` with all columns, of each group the document of least doc_id (then of least text hash).
 
     Groups are joined by all pairs of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more; ``distance`` and
-    ``hot`` only set what the first filter finds. Null texts count as empty ones.
+    ``hot`` only set what the prints' links find first. Null texts count as empty ones.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
-    texts = keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_of(keyed).alias("text"))
-    marked = save(classes(texts), "classes")
+    key = free(docs, "_row")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
+    texts = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_of(keyed).alias("text"))
+    marked = save(classes(texts, n_words), "classes")
     found = groups(marked, texts.select("row", "text"), n_words, distance, hot, similarity)
     best = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"))
     best = best.join(found, "node", "left").groupBy(F.coalesce("label", "node").alias("g")).agg(F.min("m").alias("m"))
-    return keyed.join(best.select(F.col("m.row").alias("_row")), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return keyed.join(best.select(F.col("m.row").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
