@@ -32,7 +32,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/specloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._specloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that no later plan reads, and lets Spark remove the shuffle files of plans that are done."""
+    for df in tables:
+        spark, path = df.sparkSession, df._specloom_path.rpartition("/")[0]
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
@@ -74,6 +86,25 @@ def over_batches(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: p
     return run
 
 
+class Memo(dict):
+    """A task's table of what was worked out for words met before, emptied before its keys and ``each`` bytes a row exceed ``most`` bytes; very long words are not kept."""
+
+    def __init__(self, most: int = 32 << 20, each: int = 256):
+        super().__init__()
+        self.most, self.each, self.held = most, each, 0
+
+    def put(self, key: str, value):
+        size = 4 * len(key) + self.each
+        if size > self.most >> 6:
+            return value
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[key] = value
+        return value
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64 arrays (public constants)."""
     x = x ^ (x >> np.uint64(30))
@@ -103,7 +134,8 @@ def components(edges: DataFrame) -> DataFrame:
         parents.append(up)
         left = up.select(F.col("node").alias("a"), F.col("label").alias("la"))
         right = up.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        rest = save(rest.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        last, rest = rest, save(rest.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        discard(last)
     if not parents:
         return rest.select(F.col("a").alias("node"), F.col("b").alias("label"))
     out = parents[0]

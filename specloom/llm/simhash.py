@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import components, free, mix64, over_batches, save, small_batches, text_of
+from specloom.llm.common import components, discard, free, mix64, over_batches, save, small_batches, text_of
 from specloom.llm.ngram import tokens
 from specloom.llm.rolling import powers
 
@@ -230,8 +230,8 @@ def _distinct(x: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return x[new], np.bincount(doc[new], minlength=n)
 
 
-def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+def _lists(flat: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat if isinstance(flat, pa.Array) else pa.array(flat))
 
 
 def shingles_of(text: str | None, n_words: int) -> np.ndarray:
@@ -256,27 +256,39 @@ def classes(docs: DataFrame, n_words: int, part: int = 8) -> DataFrame:
     return small_batches(docs).select("row", "id", "text").mapInArrow(over_batches(make, schema), "row bigint, id bigint, node bigint, fp bigint, some array<bigint>")
 
 
-def alike(edges: DataFrame, sets: DataFrame, similarity: float, most: int = 500) -> DataFrame:
-    """The ``edges`` (a, b) whose sets (node, shingles) have a Jaccard similarity of ``similarity`` or more.
+def matched(edges: DataFrame, values: DataFrame, holds: str, most: int = 500) -> DataFrame:
+    """The ``edges`` (a, b) for whose ``values`` (node, v) the SQL condition ``holds``, on x of a and y of b, is true.
 
     Nodes that are b of more than ``most`` edges are dealt to several tasks.
     """
     deals = edges.groupBy("b").agg(F.expr(f"cast(count(*) div {int(most)} + 1 as int)").alias("deals"))
-    right = sets.join(deals, sets["node"] == deals["b"]).select("b", "deals", F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    right = values.join(deals, values["node"] == deals["b"]).select("b", "deals", F.col("v").alias("y"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
     left = edges.join(deals, "b").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int")).select("a", "b", "deal")
-    left = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(right, ["b", "deal"]).withColumn("both", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
+    left = left.join(values.select(F.col("node").alias("a"), F.col("v").alias("x")), "a")
+    return left.join(right, ["b", "deal"]).where(holds).select("a", "b")
+
+
+def alike(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b) whose sets (node, v) have a Jaccard similarity of ``similarity`` or more."""
+    return matched(edges, sets, f"size(array_intersect(x, y)) >= {similarity / (1 + similarity)!r}D * (size(x) + size(y)) - 1e-9D")
+
+
+def close(edges: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b) that may have it, as far as their prefixes (node, v) tell: up to where the shorter one ends in the
+    order of shingles, both sets are known whole, and no more may differ there than may in all."""
+    known = lambda v: f"size(filter({v}.prefix, e -> e <= least(element_at(x.prefix, -1), element_at(y.prefix, -1))))"
+    most = f"{(1 - similarity) / (1 + similarity)!r}D * (x.n + y.n) + 1e-6D"
+    return matched(edges, prefixes, f"{known('x')} + {known('y')} - 2 * size(array_intersect(x.prefix, y.prefix)) <= {most}")
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """(node, shingles) of the classes ``wanted`` (row, node), which are few; ``texts`` is (row, text)."""
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """(node, v) of the classes ``wanted`` (row, node), which are few: v the sorted shingles; ``texts`` is (row, text)."""
+    schema = pa.schema([("node", pa.int64()), ("v", pa.list_(pa.int64()))])
 
     def make():
-        return lambda batch: {"node": batch.column("node"), "shingles": _lists(*shingle_sets(batch.column("text").to_pylist(), n_words)[:2])}
+        return lambda batch: {"node": batch.column("node"), "v": _lists(*shingle_sets(batch.column("text").to_pylist(), n_words)[:2])}
 
-    sets = small_batches(texts).join(wanted, "row").select("node", "text").mapInArrow(over_batches(make, schema), "node bigint, shingles array<bigint>")
+    sets = small_batches(texts).join(wanted, "row").select("node", "text").mapInArrow(over_batches(make, schema), "node bigint, v array<bigint>")
     return save(sets.dropDuplicates(["node"]), "shingles")
 
 
@@ -286,11 +298,13 @@ def prefix_sizes(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, most: int = 1_000_000) -> DataFrame:
-    """(row, node, n, prefix) of every text: n the size of its set. The ``most`` commonest shingles of a part of the classes are ordered last, the rest by their hashes."""
+    """(row, node, n, prefix) of every text: n the size of its set, prefix its first shingles (o, x) in the order of o, how often x is seen in a part of
+    the classes (the ``most`` commonest only), then of x, its hash."""
     part = marked.where("size(some) > 0").dropDuplicates(["node"])
     often = part.select(F.explode("some").alias("x")).groupBy("x").count().where("count > 1").orderBy(F.desc("count"), "x").limit(most).toPandas().sort_values("x")
     shared = texts.sparkSession.sparkContext.broadcast((often["x"].to_numpy(np.int64), often["count"].to_numpy(np.int32)))  # ``most`` rows of 12 bytes at most
-    schema = pa.schema([("row", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    pair = pa.struct([("o", pa.int32()), ("x", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pair))])
 
     def make():
         common, counts = shared.value
@@ -305,11 +319,12 @@ def prefixes(texts: DataFrame, marked: DataFrame, n_words: int, similarity: floa
             order = np.lexsort((sets, seen, doc))
             keep = prefix_sizes(sizes, similarity)
             first = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(keep, sizes)
-            return {"row": batch.column("row"), "node": nodes.view(np.int64), "n": pa.array(sizes, pa.int32()), "prefix": _lists(sets[order][first], keep)}
+            both = pa.StructArray.from_arrays([pa.array(seen[order][first], pa.int32()), pa.array(sets[order][first])], fields=list(pair))
+            return {"row": batch.column("row"), "node": nodes.view(np.int64), "n": pa.array(sizes, pa.int32()), "prefix": _lists(both, keep)}
 
         return step
 
-    found = small_batches(texts).select("row", "text").mapInArrow(over_batches(make, schema), "row bigint, node bigint, n int, prefix array<bigint>")
+    found = small_batches(texts).select("row", "text").mapInArrow(over_batches(make, schema), "row bigint, node bigint, n int, prefix array<struct<o: int, x: bigint>>")
     return save(found.where("n > 0"), "prefixes")
 
 
@@ -332,18 +347,41 @@ def crossings(rows: DataFrame) -> tuple[int, int]:
     return n, int(pairs)
 
 
+def meetings(firsts: DataFrame) -> DataFrame:
+    """(x, node, n, i) of the shingles that are among the first of two classes or more; i is a shingle's place in its class's order.
+
+    The shingles are counted first (pre-aggregated, so a common one is a row a task), then their rows are fetched.
+    """
+    several = save(firsts.select("node", F.explode("prefix.x").alias("x")).groupBy("x").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("x"), "several")
+    rows = firsts.select("node", "n", F.posexplode("prefix.x").alias("i", "x")).selectExpr("x", "node", "shiftleft(cast(n as bigint), 32) + i as ni")
+    rows = rows.join(several, "x", "left_semi").dropDuplicates(["x", "node"])
+    rows = save(rows.selectExpr("x", "node", "cast(shiftright(ni, 32) as int) n", "cast(ni & 4294967295L as int) i"), "meetings")
+    discard(several)
+    return rows
+
+
 def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, turns: int = 8, few: int = 4) -> DataFrame:
     """Edges (a, b) that, with ``linked``, connect all classes of ``similarity`` or more. The classes that meet on a shingle are
     compared with one of them at a time until at most ``few`` pairs a row are left (``turns`` times at most), then pair by pair."""
-    rows = prefixes(texts, marked, n_words, similarity).join(distinct.select("row"), "row", "left_semi")
-    rows = apart(labelled(rows, linked).select("node", "label", "n", F.posexplode("prefix").alias("i", "x")))
+    firsts = prefixes(texts, marked, n_words, similarity)
+    met = meetings(firsts)
+    rows = apart(labelled(met, linked))
+    discard(met)
     fits = f"least(l.n - l.i, r.n - r.i) >= {similarity / (1 + similarity)!r}D * (l.n + r.n) - 1e-6D"  # what can follow the first shared shingle, itself included
     found = linked
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = save(pairs.distinct(), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return save(alike(pairs, sets_of(texts, distinct.select("row", "node").join(nodes, "node"), n_words), similarity), "alike")
+        own = lambda edges: save(distinct.select("row", "node").join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node"), "own")
+        nodes = own(pairs)
+        short = firsts.join(nodes.select("row"), "row", "left_semi").dropDuplicates(["node"]).select("node", F.struct("n", "prefix").alias("v"))
+        near = save(close(pairs, short, similarity), "close")
+        discard(pairs, nodes)
+        nodes = own(near)
+        sets = sets_of(texts, nodes, n_words)
+        sure = save(alike(near, sets, similarity), "alike")
+        discard(near, nodes, sets)
+        return sure
 
     for turn in range(turns):
         n, pairs = crossings(rows)
@@ -354,10 +392,13 @@ def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: Da
         hubs = rows.groupBy("x").agg(F.min(F.struct(best.alias("o"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label", "n", "i")).alias("m")).select("x", "m.*")
         stars = rows.alias("l").join(hubs.alias("r"), "x").where("l.label <> r.label").where(fits)
         found = save(found.unionByName(compared(stars.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))), "found")
-        rows = apart(labelled(rows, found))
+        before, rows = rows, apart(labelled(rows, found))
+        discard(before)
     left, right = rows.alias("l"), rows.alias("r")
     on = (F.col("l.x") == F.col("r.x")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & F.expr(fits)
-    return found.unionByName(compared(left.join(right, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))))
+    found = save(found.unionByName(compared(left.join(right, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))), "found")
+    discard(rows, firsts)
+    return found
 
 
 def groups(marked: DataFrame, texts: DataFrame, n_words: int, distance: int, hot: int, similarity: float) -> DataFrame:
@@ -371,6 +412,7 @@ def groups(marked: DataFrame, texts: DataFrame, n_words: int, distance: int, hot
     reached = save(components(near.unionByName(same)), "reached")
     sets = sets_of(texts, distinct.join(reached, "node").select("row", "node"), n_words)
     star = save(alike(reached.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")), sets, similarity), "star")
+    discard(sets, reached)
     return components(rest_of(star, distinct, texts, marked, n_words, similarity))
 
 
