@@ -87,7 +87,7 @@ def test_em_recovers_weights():
 def test_sketches(spark, docs):
     rows = queries.QUERIES["op2_iblt"](spark, SF).toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
     texts = dict(docs.select("doc_id", "text").collect())
-    para = re.compile(r"[^\n]{1,256}")
+    para = re.compile(r"[^\n]{1,64}[^\n.!?]{0,192}[.!?]*")  # a line, or a long one's part that ends with a sentence
     for i in range(len(rows)):
         x, y = texts[rows.doc_id[i]], texts[rows.doc_id[(i + 1) % len(rows)]]
         k = len(x) // 2
@@ -97,6 +97,30 @@ def test_sketches(spark, docs):
         for got, other in ((rows.near_edited[i], edited), (rows.near_next[i], y)):
             b = set(para.findall(other))
             assert got == pytest.approx(2 * len(a & b) / (len(a) + len(b)) if a or b else 1)
+    assert 1 <= rows.tier.max() <= 4  # every pair has peeled
+
+
+def test_sketches_of_odd_ids(spark):
+    """Ids far apart, one outlier, one id of many rows, nulls: the next row is the one that a sort gives."""
+    ids = [-(2**63), -(2**63), 2**62, 2**63 - 1, *range(40), *[7] * 25, *[None] * 9]
+    rows = [(d, f"line {i}\nof document {d}\n" + "x" * (i % 5)) for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    h = {r["text"]: r["h"] for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]]))
+    for size, most in ((4, 50), (4, 3), (1, 500), (4096, 50)):
+        got = {r["text"]: r["next_text"] for r in iblt.with_next(df, size, most).collect()}
+        assert got == {a[1]: b[1] for a, b in zip(want, want[1:] + want[:1], strict=True)}
+    assert iblt.fingerprints(df, 4).where("to_next.tier > 5").count() == 0
+
+
+def test_peeling_alone_tells_the_difference(spark):
+    """The sets reach the result only through cells: sketches of other sets give those sets' difference."""
+    df = spark.range(1).selectExpr("transform(sequence(1, 40), x -> xxhash64(x)) a", "transform(sequence(25, 66), x -> xxhash64(x)) b")
+    row = df.select(iblt.difference(iblt._cells("a"), iblt._cells("b"), "a", "b").alias("d"), "a", "b").first()
+    assert {*row["d"]["plus"]} == {*row["a"]} - {*row["b"]} and {*row["d"]["minus"]} == {*row["b"]} - {*row["a"]} and 1 <= row["d"]["tier"] <= 5
+    small = spark.range(1).selectExpr("transform(sequence(1, 4), x -> xxhash64(x)) a", "transform(sequence(3, 5), x -> xxhash64(x)) b")
+    row = small.select(iblt.difference(iblt._cells("a"), iblt._cells("b"), "array_repeat(0L, 4)", "array_repeat(0L, 4)").alias("d"), "a", "b").first()
+    assert row["d"]["tier"] == 0 and {*row["d"]["plus"]} == {*row["a"]} - {*row["b"]} and {*row["d"]["minus"]} == {*row["b"]} - {*row["a"]}
 
 
 def test_language_and_toxicity_held_out(spark, docs):
