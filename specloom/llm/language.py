@@ -4,8 +4,9 @@ A known word adds its log frequency in each language; an unseen word falls back
 n-grams (five letters down to one, the word's ends marked), each known n-gram of that length adding its share. The
 score is the best language's posterior, with the log likelihood tempered by the square root of the number of words.
 
-The frequencies are fitted to a bounded sample of labelled texts (``sample`` rows, those of least seeded hash) and kept
-for the ``most`` most frequent words and n-grams, so the table that goes with the tasks has a proven size.
+The frequencies are fitted to a bounded sample of labelled texts: ``sample`` rows of each language, those of least seeded hash. All
+words and n-grams that they hold twice or more are known; totals count all. So the table that goes with the tasks is
+bounded by the sample.
 
 A null text or one without a letter: ``und`` with score 0. Without any labelled text every text is ``und``. Rows with a
 null ``lang`` teach nothing. Ties go to the language that sorts first. Rows repeat as they come; other columns are
@@ -20,9 +21,10 @@ from math import exp, log, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specloom.llm.common import crc_mod, hash64, over_batches, small_batches
+from specloom.llm.common import Memo, crc_mod, hash64, over_batches, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -36,7 +38,7 @@ def grams(word: str, n: int) -> list[str]:
 class Backoff:
     """``counts`` maps (kind, gram) to counts by language; kind 0 is a word, n an n-gram."""
 
-    def __init__(self, counts: dict[tuple[int, str], dict[str, int]], totals: dict[tuple[int, str], int], known: int = 100_000):
+    def __init__(self, counts: dict[tuple[int, str], dict[str, int]], totals: dict[tuple[int, str], int]):
         self.langs = sorted({lang for (kind, lang), n in totals.items() if kind == 0 and n})
         self.words: dict[str, tuple[float, ...]] = {}
         self.grams: list[dict[str, tuple[float, ...]]] = [{} for _ in range(LONGEST + 1)]
@@ -44,8 +46,7 @@ class Backoff:
         for (kind, gram), by in counts.items():
             row = tuple(log((by.get(x, 0) + 0.1) / (totals.get((kind, x), 0) + 0.1 * (sizes[kind] + 1))) for x in self.langs)
             (self.grams[kind] if kind else self.words)[gram] = row
-        self.seen: dict[str, tuple[float, ...]] = {}
-        self.known = known
+        self.seen = Memo()
 
     def backed_off(self, word: str) -> tuple[float, ...]:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
@@ -55,12 +56,7 @@ class Backoff:
         return (0.0,) * len(self.langs)
 
     def of_word(self, word: str) -> tuple[float, ...]:
-        row = self.words.get(word) or self.seen.get(word)
-        if row is None:
-            if len(self.seen) >= self.known:
-                self.seen.clear()
-            row = self.seen[word] = self.backed_off(word)
-        return row
+        return self.words.get(word) or self.seen.get(word) or self.seen.put(word, self.backed_off(word))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
@@ -73,12 +69,14 @@ class Backoff:
         return self.langs[best], 1 / sum(exp(x - sums[best]) for x in sums)
 
 
-def train(docs: DataFrame, sample: int = 4_000, most: int = 150_000, seed: int = 11) -> Backoff:
-    """Learns from documents with a ``lang`` whose crc32(doc_id as text) mod 4 is not 2, from ``sample`` of them at most."""
+def train(docs: DataFrame, sample: int = 1_000, least: int = 2, seed: int = 11) -> Backoff:
+    """Learns from documents with a ``lang`` whose crc32(doc_id as text) mod 4 is not 2, from ``sample`` of each language at most; words and n-grams seen less than ``least`` times are unknown."""
     fit = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "lang").where("lang is not null and text is not null").where(crc_mod(F.col("doc_id"), 4) != 2)
-    ids = fit.select("doc_id").distinct().orderBy(hash64(seed, F.col("doc_id")), "doc_id").limit(sample)
-    ids = ids.withColumnRenamed("doc_id", "picked")
-    picked = fit.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("picked")), "left_semi")  # ``sample`` rows at most
+    ids = fit.select("doc_id", "lang", F.xxhash64("text").alias("h")).distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(hash64(seed, F.col("doc_id"), F.col("h")), "doc_id"))  # each task first drops what is beyond ``sample``
+    ids = ids.withColumn("r", rank).where(F.col("r") <= sample).select(F.col("doc_id").alias("picked"), F.col("lang").alias("l"), "h")
+    picked = fit.join(ids, F.col("doc_id").eqNullSafe(F.col("picked")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "lang", "text"])
+
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
 
     def make():
@@ -100,14 +98,10 @@ def train(docs: DataFrame, sample: int = 4_000, most: int = 150_000, seed: int =
         return step
 
     counted = picked.select("text", "lang").mapInArrow(over_batches(make, schema), "lang string, kind int, gram string, n bigint").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    kept = counted.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = kept.orderBy(F.desc("all"), "kind", "gram").limit(most).toArrow().to_pylist()
-    counts = {(r["kind"], r["gram"]): dict(r["by"]) for r in rows}
-    totals: Counter = Counter()
-    for (kind, _), by in counts.items():
-        for lang, n in by.items():
-            totals[kind, lang] += n
-    return Backoff(counts, dict(totals))
+    totals = {(r["kind"], r["lang"]): r["n"] for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language and kind
+    kept = counted.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("all") >= least)
+    counts = {(r["kind"], r["gram"]): dict(r["by"]) for r in kept.select("kind", "gram", "by").toArrow().to_pylist()}  # what the sample holds
+    return Backoff(counts, totals)
 
 
 def identify(docs: DataFrame, model: Backoff) -> DataFrame:

@@ -2,8 +2,9 @@
 
 No piece of the vocabulary holds a white-space marker after another character (checked when the model is
 read), so no merge crosses a marked word: each distinct marked word of a task is segmented once, its ids are
-kept in a table of bounded size, and a text's ids are the words' ids joined by position. A model whose pieces
-do cross markers is applied to whole texts.
+kept in the task's table of distinct words, and a text's ids are the words' ids joined by position. The table is bounded in bytes and
+emptied when full. A table of all words of the corpus would cost a shuffle of every word's position twice; a task's own costs none and
+segments a word again only once a task. A model whose pieces do cross markers is applied to whole texts.
 
 Null text: as the empty text, which has the end id alone and decodes to the empty text. Words of any length
 are segmented whole. Rows repeat as they come; other columns are ignored. An empty table gives an empty result.
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from specloom.llm.common import over_batches, small_batches
+from specloom.llm.common import Memo, over_batches, small_batches
 
 #: The white-space marker of the library.
 MARK = "▁"
@@ -32,25 +33,23 @@ def default_model() -> str:
 
 
 class ChunkTable:
-    """Text to ids and back by distinct marked words; ``most`` bounds the table."""
+    """Text to ids and back by distinct marked words; ``most`` bounds the table's bytes."""
 
-    def __init__(self, model: bytes, most: int = 100_000):
+    def __init__(self, model: bytes, most: int = 64 << 20):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.end = self.sp.eos_id()
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.whole = any(MARK in p.lstrip(MARK) for p in pieces) or self.sp.encode("a") != self.sp.encode("a", add_bos=False) or self.sp.id_to_piece(self.sp.encode(" a"))[0][0] != MARK
-        self.most, self.rows = most, {}
+        self.rows = Memo(most)
 
     def row(self, chunk: str) -> tuple[str, str]:
         """chunk: a marked word without its first marker. Its ids as text, its decoded text."""
         found = self.rows.get(chunk)
         if found is None:
-            if len(self.rows) >= self.most:
-                self.rows.clear()
             ids = self.sp.encode(chunk) if chunk else [self.sp.piece_to_id(MARK)]
-            found = self.rows[chunk] = (" ".join(map(str, ids)), self.sp.decode(ids) if chunk else "")
+            found = self.rows.put(chunk, (" ".join(map(str, ids)), self.sp.decode(ids) if chunk else ""))
         return found
 
     def chunks(self, text: str) -> list[str]:
@@ -72,7 +71,7 @@ class ChunkTable:
         return " ".join([x[0] for x in both]) + f" {self.end}", " ".join([x[1] for x in both])
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, digests_only: bool = False, most: int = 100_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, digests_only: bool = False, most: int = 64 << 20) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded), or with ``digests_only`` (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     proto = Path(model or default_model()).read_bytes()  # of fixed size; goes with the tasks
     rest = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests_only else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]

@@ -7,7 +7,7 @@ driver to the features of a bounded sample of labelled documents (``sample`` row
 one part of it gives the lexicon, one the trees, one the isotonic calibration.
 
 Null, empty and wordless texts: all features zero, scored like any other. Null labels and labels of unknown
-documents teach nothing; a document labelled more than once teaches once a distinct label. Without a label of
+documents teach nothing; a document labelled more than once teaches once a distinct label; of texts that share a labelled doc_id the one of least hash teaches. Without a label of
 either kind every score is the share of label 1 (0 without any). Rows repeat as they come; other columns pass only in
 ``keep_clean``. An empty table gives an empty result.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import crc_mod, hash64, over_batches, small_batches
+from specloom.llm.common import Memo, crc_mod, hash64, over_batches, small_batches
 
 #: English words of abuse that start the lexicon, and second-person words of four languages.
 SEED_WORDS = frozenset("idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting ugly hate clown jerk imbecile cretin vermin filth pig liar".split())
@@ -48,16 +48,14 @@ def weights_of(words: set[str], learned: dict[str, float]) -> dict[str, float]:
     return {w: max(x) for w, x in known if x}
 
 
-def remember(words: set[str], learned: dict[str, float], known: dict[str, float], most: int = 200_000) -> dict[str, float]:
-    """``known`` with the weights of ``words`` added, 0 for those that the learned lexicon does not know; emptied first beyond ``most``."""
-    new = {w for w in words if w not in known}
-    if len(known) + len(new) > most:
-        known.clear()
-        new = words
+def remember(words: set[str], learned: dict[str, float], known: Memo) -> dict[str, float]:
+    """Weights of ``words``, 0 for those that the learned lexicon does not know; ``known`` keeps those of words met before."""
+    found = {w: known.get(w) for w in words}
+    new = {w for w, v in found.items() if v is None}
     if new:
-        known.update(dict.fromkeys(new, 0.0))
-        known.update(weights_of(new, learned))
-    return known
+        weights = weights_of(new, learned)
+        found.update((w, known.put(w, weights.get(w, 0.0))) for w in new)
+    return found
 
 
 def odd_words(low: str) -> list[str]:
@@ -65,7 +63,7 @@ def odd_words(low: str) -> list[str]:
     return [x for t in low.split() if not (t.isalpha() or t.rstrip(",.;:!?").isalpha()) for x in ODD.findall(t)]
 
 
-def features(text: str | None, learned: dict[str, float], known: dict[str, float]) -> list[float]:
+def features(text: str | None, learned: dict[str, float], known: Memo) -> list[float]:
     """Dense features of a whole text; ``learned`` maps words and stems to weights, ``known`` keeps the weights of words met before."""
     text = text or ""
     low = text.lower()
@@ -171,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
     """Learns from the labelled documents whose crc32(doc_id as text) mod 4 is not 2, from ``sample`` of them at most."""
     known = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) y").where("doc_id is not null and y in (0, 1)").where(crc_mod(F.col("doc_id"), 4) != 2).distinct()
     known = known.orderBy(hash64(seed, F.col("doc_id")), "doc_id", "y").limit(sample).withColumn("part", F.pmod(hash64(seed + 1, F.col("doc_id")), F.lit(5)).cast("int"))
-    picked = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(F.broadcast(known), "doc_id")  # ``sample`` rows at most
+    picked = docs.selectExpr("cast(doc_id as bigint) doc_id", "coalesce(text, '') text").join(F.broadcast(known), "doc_id")  # ``sample`` rows at most
+    picked = picked.groupBy("doc_id", "y", "part").agg(F.min_by("text", hash64(seed, F.col("text"))).alias("text"))
     counted = pa.schema([("word", pa.string()), ("y", pa.int32()), ("n", pa.int64())])
 
     def count_words():
@@ -196,10 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("part", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def featured():
-        known: dict[str, float] = {}
+        known = Memo()
         return lambda batch: {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "part": batch.column("part"), "x": [features(t, learned, known) for t in batch.column("text").to_pylist()]}
 
-    rows = picked.where("part >= 2").select("doc_id", "y", "part", "text").mapInArrow(over_batches(featured, schema), "doc_id bigint, y int, part int, x array<double>").limit(2 * sample).toPandas().sort_values(["doc_id", "y"])
+    rows = picked.where("part >= 2").select("doc_id", "y", "part", "text").mapInArrow(over_batches(featured, schema), "doc_id bigint, y int, part int, x array<double>").toPandas().sort_values(["doc_id", "y"])  # a row for each of the ``sample`` labels
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), N_FEATURES)
     return Model(learned, x, rows["y"].to_numpy(dtype=float), rows["part"].to_numpy() == 4)
 
@@ -209,7 +208,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def make():
-        known: dict[str, float] = {}
+        known = Memo()
         return lambda batch: {"doc_id": batch.column("doc_id"), "score": model.score(np.array([features(t, model.learned, known) for t in batch.column("text").to_pylist()]))}
 
     return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(over_batches(make, schema), "doc_id bigint, score double")
@@ -220,7 +219,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches):
-        known: dict[str, float] = {}
+        known = Memo()
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
