@@ -230,8 +230,8 @@ def _distinct(x: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return x[new], np.bincount(doc[new], minlength=n)
 
 
-def _lists(flat: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat if isinstance(flat, pa.Array) else pa.array(flat))
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
 
 
 def shingles_of(text: str | None, n_words: int) -> np.ndarray:
@@ -273,14 +273,6 @@ def alike(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return matched(edges, sets, f"size(array_intersect(x, y)) >= {similarity / (1 + similarity)!r}D * (size(x) + size(y)) - 1e-9D")
 
 
-def close(edges: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
-    """The ``edges`` (a, b) that may have it, as far as their prefixes (node, v) tell: up to where the shorter one ends in the
-    order of shingles, both sets are known whole, and no more may differ there than may in all."""
-    known = lambda v: f"size(filter({v}.prefix, e -> e <= least(element_at(x.prefix, -1), element_at(y.prefix, -1))))"
-    most = f"{(1 - similarity) / (1 + similarity)!r}D * (x.n + y.n) + 1e-6D"
-    return matched(edges, prefixes, f"{known('x')} + {known('y')} - 2 * size(array_intersect(x.prefix, y.prefix)) <= {most}")
-
-
 def sets_of(texts: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     """(node, v) of the classes ``wanted`` (row, node), which are few: v the sorted shingles; ``texts`` is (row, text)."""
     schema = pa.schema([("node", pa.int64()), ("v", pa.list_(pa.int64()))])
@@ -288,8 +280,8 @@ def sets_of(texts: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     def make():
         return lambda batch: {"node": batch.column("node"), "v": _lists(*shingle_sets(batch.column("text").to_pylist(), n_words)[:2])}
 
-    sets = small_batches(texts).join(wanted, "row").select("node", "text").mapInArrow(over_batches(make, schema), "node bigint, v array<bigint>")
-    return save(sets.dropDuplicates(["node"]), "shingles")
+    few = small_batches(texts).join(wanted, "row").select("node", "text").dropDuplicates(["node"])
+    return save(few.mapInArrow(over_batches(make, schema), "node bigint, v array<bigint>"), "shingles")
 
 
 def prefix_sizes(sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -298,13 +290,12 @@ def prefix_sizes(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, most: int = 1_000_000) -> DataFrame:
-    """(row, node, n, prefix) of every text: n the size of its set, prefix its first shingles (o, x) in the order of o, how often x is seen in a part of
-    the classes (the ``most`` commonest only), then of x, its hash."""
+    """(node, n, prefix) of every text: n the size of its set, prefix its first shingles, in the order of how often they are seen in a part of
+    the classes (the ``most`` commonest only), then of their hashes."""
     part = marked.where("size(some) > 0").dropDuplicates(["node"])
     often = part.select(F.explode("some").alias("x")).groupBy("x").count().where("count > 1").orderBy(F.desc("count"), "x").limit(most).toPandas().sort_values("x")
     shared = texts.sparkSession.sparkContext.broadcast((often["x"].to_numpy(np.int64), often["count"].to_numpy(np.int32)))  # ``most`` rows of 12 bytes at most
-    pair = pa.struct([("o", pa.int32()), ("x", pa.int64())])
-    schema = pa.schema([("row", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pair))])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def make():
         common, counts = shared.value
@@ -319,12 +310,11 @@ def prefixes(texts: DataFrame, marked: DataFrame, n_words: int, similarity: floa
             order = np.lexsort((sets, seen, doc))
             keep = prefix_sizes(sizes, similarity)
             first = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(keep, sizes)
-            both = pa.StructArray.from_arrays([pa.array(seen[order][first], pa.int32()), pa.array(sets[order][first])], fields=list(pair))
-            return {"row": batch.column("row"), "node": nodes.view(np.int64), "n": pa.array(sizes, pa.int32()), "prefix": _lists(both, keep)}
+            return {"node": nodes.view(np.int64), "n": pa.array(sizes, pa.int32()), "prefix": _lists(sets[order][first], keep)}
 
         return step
 
-    found = small_batches(texts).select("row", "text").mapInArrow(over_batches(make, schema), "row bigint, node bigint, n int, prefix array<struct<o: int, x: bigint>>")
+    found = small_batches(texts).select("text").mapInArrow(over_batches(make, schema), "node bigint, n int, prefix array<bigint>")
     return save(found.where("n > 0"), "prefixes")
 
 
@@ -334,10 +324,10 @@ def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.drop("label").join(of, "node", "left").withColumn("label", F.coalesce("least", "node")).drop("least")
 
 
-def apart(rows: DataFrame) -> DataFrame:
-    """The ``rows`` (x, label, ...) whose shingle x is also in a row of another label."""
-    several = rows.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("x")
-    return save(rows.join(several, "x", "left_semi"), "apart")
+def apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """The ``rows`` (x, node, label, n, i) whose shingle x is also in a row of another label, as far as enough can follow it to be alike to the smallest set that has it."""
+    by = rows.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("x", "least")
+    return save(rows.join(by, "x").where(f"n - i >= {similarity / (1 + similarity)!r}D * (n + least) - 1e-6D").drop("least"), "apart")
 
 
 def crossings(rows: DataFrame) -> tuple[int, int]:
@@ -352,35 +342,30 @@ def meetings(firsts: DataFrame) -> DataFrame:
 
     The shingles are counted first (pre-aggregated, so a common one is a row a task), then their rows are fetched.
     """
-    several = save(firsts.select("node", F.explode("prefix.x").alias("x")).groupBy("x").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("x"), "several")
-    rows = firsts.select("node", "n", F.posexplode("prefix.x").alias("i", "x")).selectExpr("x", "node", "shiftleft(cast(n as bigint), 32) + i as ni")
+    several = save(firsts.select("node", F.explode("prefix").alias("x")).groupBy("x").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("x"), "several")
+    rows = firsts.select("node", "n", F.posexplode("prefix").alias("i", "x")).selectExpr("x", "node", "shiftleft(cast(n as bigint), 32) + i as ni")
     rows = rows.join(several, "x", "left_semi").dropDuplicates(["x", "node"])
     rows = save(rows.selectExpr("x", "node", "cast(shiftright(ni, 32) as int) n", "cast(ni & 4294967295L as int) i"), "meetings")
     discard(several)
     return rows
 
 
-def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, turns: int = 8, few: int = 4) -> DataFrame:
+def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, turns: int = 3, few: int = 4) -> DataFrame:
     """Edges (a, b) that, with ``linked``, connect all classes of ``similarity`` or more. The classes that meet on a shingle are
     compared with one of them at a time until at most ``few`` pairs a row are left (``turns`` times at most), then pair by pair."""
     firsts = prefixes(texts, marked, n_words, similarity)
     met = meetings(firsts)
-    rows = apart(labelled(met, linked))
+    rows = apart(labelled(met, linked), similarity)
     discard(met)
     fits = f"least(l.n - l.i, r.n - r.i) >= {similarity / (1 + similarity)!r}D * (l.n + r.n) - 1e-6D"  # what can follow the first shared shingle, itself included
     found = linked
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = save(pairs.distinct(), "pairs")
-        own = lambda edges: save(distinct.select("row", "node").join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node"), "own")
-        nodes = own(pairs)
-        short = firsts.join(nodes.select("row"), "row", "left_semi").dropDuplicates(["node"]).select("node", F.struct("n", "prefix").alias("v"))
-        near = save(close(pairs, short, similarity), "close")
-        discard(pairs, nodes)
-        nodes = own(near)
+        nodes = distinct.select("row", "node").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
         sets = sets_of(texts, nodes, n_words)
-        sure = save(alike(near, sets, similarity), "alike")
-        discard(near, nodes, sets)
+        sure = save(alike(pairs, sets, similarity), "alike")
+        discard(pairs, sets)
         return sure
 
     for turn in range(turns):
@@ -392,7 +377,7 @@ def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: Da
         hubs = rows.groupBy("x").agg(F.min(F.struct(best.alias("o"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label", "n", "i")).alias("m")).select("x", "m.*")
         stars = rows.alias("l").join(hubs.alias("r"), "x").where("l.label <> r.label").where(fits)
         found = save(found.unionByName(compared(stars.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))), "found")
-        before, rows = rows, apart(labelled(rows, found))
+        before, rows = rows, apart(labelled(rows, found), similarity)
         discard(before)
     left, right = rows.alias("l"), rows.alias("r")
     on = (F.col("l.x") == F.col("r.x")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & F.expr(fits)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import Memo, crc_mod, hash64, over_batches, small_batches
+from specloom.llm.common import Memo, crc_mod, hash64, over_batches, small_batches, tidy
 
 #: English words of abuse that start the lexicon, and second-person words of four languages.
 SEED_WORDS = frozenset("idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting ugly hate clown jerk imbecile cretin vermin filth pig liar".split())
@@ -225,6 +225,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
                 batch = whole.slice(first, 256)
                 fine = model.score(np.array([features(t, model.learned, known) for t in batch.column(at).to_pylist()])) < threshold
                 yield batch.filter(pa.array(fine))
+        tidy()
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 
