@@ -97,7 +97,7 @@ def _runs(flags: np.ndarray, start_of: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begins, ends
 
 
-def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_bytes: int = 3 << 20, hot: int = 512) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_bytes: int = 3 << 20, hot: int = 512, deals: int = 8) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): ``spans`` the removed runs [from, to) of bytes, ``kept`` the other bytes.
 
     With ``keep_first`` the copy of least doc_id (then least position) of each repeated string stays.
@@ -125,11 +125,12 @@ def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_
     occ = texts.select("uid", "doc_id", "text").mapInArrow(over_batches(find, found), "anchor bigint, ctx bigint, uid bigint, doc_id bigint, off int, s0 bigint, span int")
     occ = save(occ, "anchors")
     contexts = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid", "s0")).alias("at"), F.first("off").alias("off"), F.first("span").alias("span"))
-    several = contexts.groupBy("anchor").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("anchor")
-    contexts = contexts.join(several, "anchor")
-    contexts = save(contexts.select("anchor", "ctx", "n", "at.*", "off", "span"), "contexts")
-    crowds = contexts.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot"))
-    contexts = contexts.join(crowds, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # how often an anchor occurs, and in how many contexts; an anchor's contexts are dealt to several tasks by ctx
+    sizes = contexts.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("k")).where(F.col("all") > 1)
+    dealt = F.pmod(F.col("ctx"), F.lit(deals)).cast("int")
+    sizes = sizes.select("anchor", (F.col("k") > hot).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+    contexts = contexts.withColumn("deal", dealt).join(sizes, ["anchor", "deal"])
+    contexts = save(contexts.select("anchor", "ctx", "n", "at.*", "off", "span", "hot"), "contexts")
     total = contexts.agg(F.sum(F.when(F.col("hot"), (F.col("span") / PIECE + 2) * (length + PIECE)).otherwise(F.col("span") + length))).first()[0] or 0
     buckets = max(8, ceil(total / bucket_bytes))
     wanted = contexts.groupBy("uid").agg(F.collect_list(F.struct("anchor", "ctx", "n", "doc_id", "off", "s0", "span", "hot")).alias("want"))  # at most the document's own anchors
