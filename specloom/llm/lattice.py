@@ -217,3 +217,20 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT v.vec_id, CAST((SELECT count(*) FROM link WHERE link.a = v.vec_id) AS BIGINT) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
 FROM v JOIN least ON least.a = v.vec_id
 """
+
+
+def lattice_near_pairs(spark, sf_dir: str) -> DataFrame:
+    """All embeddings beside a moved copy of each, whose cosine to it lies around the threshold: links that the SQL must find as well."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    far = F.element_at(F.array(*[F.lit(x) for x in MOVES]), (F.col("vec_id") % len(MOVES) + 1).cast("int"))
+    moved = rows.withColumn("embedding", F.transform("embedding", lambda x, i: x * (1 + far * ((i + F.col("vec_id")) % 3 - 1))))
+    return near_duplicates(rows.unionByName(moved.withColumn("vec_id", -1 - F.col("vec_id"))))
+
+
+#: How far the copies' components are moved, up, not or down in turn.
+MOVES = (0.2, 0.3, 0.35, 0.45, 0.5)
+NEAR_PAIRS_SQL = ORACLE_SQL.replace(
+    "WITH RECURSIVE v AS (\n  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),",
+    "WITH RECURSIVE given AS (\n  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),\nv AS (\n  SELECT * FROM given UNION ALL\n"
+    f"  SELECT -1 - vec_id, list_transform(e, lambda x, i: x * (1e0 + CAST([{', '.join(f'{x}e0' for x in MOVES)}][vec_id % {len(MOVES)} + 1] AS DOUBLE) * ((i - 1 + vec_id) % 3 - 1))) FROM given),",
+)

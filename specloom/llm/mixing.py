@@ -2,26 +2,28 @@
 
 Documents are aggregated by membership pattern (the sources they belong to). A flow routes token capacity from the
 patterns to the sources' quotas: a pattern's first pass over its words costs 0 a word, each further pass one more
-(convex repetition costs), up to ``repeats`` passes. The network has one node a pattern and a source, so it is solved on
-the driver; their number is checked against ``most``. A pattern that must give x of its S words gives every document
+(convex repetition costs), up to ``repeats`` passes. The network has one node a pattern and a source, and is solved on the driver. Only patterns
+that share a source with another one take part, at most ``most`` of them; a pattern that has its one source to itself gives
+what its quota asks, up to ``repeats`` passes, which is what the flow would say. The driver holds a row a source and pattern. A pattern that must give x of its S words gives every document
 floor(x / S) times, and once more the documents of least seeded hash until the rest of x is reached: hash ranges are
 summed first, and only the documents of the range where the sum is reached are sorted, so no task holds a whole source.
 
 Null text: size 0, never taken. A null source is a source of its own, sorted last. A null doc_id is a key like any
-other; of rows with equal ids that meet the end of the quota together, each is judged by its size in turn. Sources
+other; of rows with equal ids that meet the end of the quota together, each is judged by its size in turn. Rows of equal id and text
+come as often as the one of them that is taken least. One task sums the ranges (``range_rows`` rows each) of a pattern. Sources
 without words have target 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specloom.llm.common import WORD, hash64, save
+from specloom.llm.common import WORD, free, hash64, save
 
 #: The weights that the sources get in turn.
 WEIGHTS = (5, 2, 1)
@@ -104,15 +106,18 @@ def mix(docs: DataFrame, sources: F.Column | None = None, weights: tuple[float,
     of = sources if sources is not None else F.array("source")
     sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.array_sort(F.array_distinct(of)).alias("sources"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
     sized = save(sized.withColumn("pattern", F.to_json("sources")).withColumn("h", F.shiftrightunsigned(hash64(seed, F.coalesce("doc_id", F.lit(-1))), 33).cast("bigint")), "sizes")
-    patterns = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count("*").alias("n")).limit(most + 1).collect()
-    if len(patterns) > most:
-        raise ValueError(f"more than {most} membership patterns")
+    patterns = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     names = sorted({x for p in patterns for x in p["sources"]}, key=lambda x: (x is None, x or ""))
     at = {x: i for i, x in enumerate(names)}
     capacity = {frozenset(at[x] for x in p["sources"]): p["size"] for p in patterns}
     size_of = [sum(n for p, n in capacity.items() if i in p) for i in range(len(names))]
     quota = targets(size_of, weights, share, repeats)
-    taken = min_cost_flow(capacity, quota, repeats)
+    shared = Counter(i for p in capacity for i in p)
+    alone = {p for p in capacity if len(p) == 1 and shared[next(iter(p))] == 1}
+    if len(capacity) - len(alone) > most:
+        raise ValueError(f"more than {most} overlapping membership patterns")
+    taken = min_cost_flow({p: n for p, n in capacity.items() if p not in alone}, quota, repeats)
+    taken |= {p: min(quota[next(iter(p))], float(repeats * capacity[p])) for p in alone}
 
     spark = docs.sparkSession
     plan = []
@@ -121,8 +126,8 @@ def mix(docs: DataFrame, sources: F.Column | None = None, weights: tuple[float,
         whole = min(repeats, int(x // n + 1e-9)) if n else 0
         ranges = max(1, p["n"] // range_rows)
         plan.append((p["pattern"], whole, max(0.0, float(x - whole * n)) if whole < repeats else 0.0, ranges))
-    plan_df = F.broadcast(spark.createDataFrame(plan, "pattern string, whole int, rest double, ranges long"))  # ``most`` rows at most
-    marked = sized.join(plan_df, "pattern").withColumn("r", (F.col("h") * F.col("ranges") / F.lit(float(1 << 31))).cast("bigint"))
+    plan_df = spark.createDataFrame(plan, "pattern string, whole int, rest double, ranges long")
+    marked = sized.join(F.broadcast(plan_df) if len(plan) <= most else plan_df, "pattern").withColumn("r", (F.col("h") * F.col("ranges") / F.lit(float(1 << 31))).cast("bigint"))
     by = W.partitionBy("pattern").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
     spans = marked.groupBy("pattern", "r").agg(F.sum("size").alias("words"), F.first("rest").alias("limit")).withColumn("before", F.coalesce(F.sum("words").over(by), F.lit(0)))
     spans = spans.select("pattern", "r", "before", (F.col("before") + F.col("words") <= F.col("limit")).alias("inside"), (F.col("before") >= F.col("limit")).alias("outside"))
@@ -138,12 +143,20 @@ def mix(docs: DataFrame, sources: F.Column | None = None, weights: tuple[float,
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all columns, each document as often as the mix takes it."""
+    row, times, copy = free(docs, "_row"), free(docs, "_copies"), free(docs, "_copy")
     key = F.xxhash64(F.col("doc_id").cast("bigint"), "text")
     found, _ = mix(docs.select(key.alias("doc_id"), "text", "source"), **options)
-    copies = found.where("copies > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.min("copies").alias("_copies"))
-    return docs.withColumn("_row", key).join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = found.where("copies > 0").groupBy(F.col("doc_id").alias(row)).agg(F.min("copies").alias(times))
+    return docs.withColumn(row, key).join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     found, info = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("source", F.col("sources")[0]).alias("f").join(F.broadcast(info).alias("i"), F.col("f.source").eqNullSafe(F.col("i.source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+
+
+def mixing_overlap(spark, sf_dir: str) -> DataFrame:
+    """All documents, each a member of its source and of its language, so that the flow has a choice; targets count a document once in each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found, _ = mix(docs, F.array(F.concat(F.lit("source "), F.coalesce("source", F.lit("-"))), F.concat(F.lit("lang "), F.coalesce("lang", F.lit("-")))), share=0.75)
+    return found.select("doc_id", F.array_join("sources", ", ").alias("sources"), "size", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))

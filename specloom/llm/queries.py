@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from specloom.llm.iblt import op2_iblt
 from specloom.llm.language import op3_language
+from specloom.llm.lattice import NEAR_PAIRS_SQL, lattice_near_pairs, op9_lattice
 from specloom.llm.lattice import ORACLE_SQL as LATTICE_SQL
-from specloom.llm.lattice import op9_lattice
-from specloom.llm.mixing import op4_mixing
+from specloom.llm.mixing import mixing_overlap, op4_mixing
 from specloom.llm.ngram import op1_deleted_interpolation
 from specloom.llm.pieces import op5_sentencepiece
 from specloom.llm.pii import op10_bootstrap
@@ -25,6 +25,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_lattice": op9_lattice,
     "op10_bootstrap": op10_bootstrap,
+    "mixing_overlap": mixing_overlap,
+    "lattice_near_pairs": lattice_near_pairs,
 }
 
-ORACLE_SQL = {"op9_lattice": LATTICE_SQL}
+ORACLE_SQL = {"op9_lattice": LATTICE_SQL, "lattice_near_pairs": NEAR_PAIRS_SQL}
