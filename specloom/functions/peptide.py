@@ -52,6 +52,11 @@ def neutral_mass(masses: Column) -> Column:
     return F.aggregate(masses, F.lit(WATER), lambda a, m: a + m)
 
 
+def running(masses: Column) -> Column:
+    """array<double>: the sums of the first 0, 1, 2, ... masses."""
+    return F.aggregate(masses, F.array(F.lit(0.0)), lambda a, m: F.concat(a, F.array(F.element_at(a, -1) + m)))
+
+
 def mz(mass: Column, charge: Column) -> Column:
     return (mass + charge * PROTON) / charge
 

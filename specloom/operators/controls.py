@@ -24,9 +24,14 @@ def random_n(df: DataFrame, n: int, seed: int = 42, order: Sequence[str] | None
 def reverse_intensity(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """The i-th least intense row of a precursor gets its i-th greatest intensity; rows and other columns stay.
 
-    Rank from either end meets in a join-free way: each row looks up the value at the mirrored place of its precursor's sorted intensities.
+    Each row goes twice, as itself and as a bare intensity; the rows are ranked from below, the intensities from above, and what has one
+    rank meets in a window. All windows share one exchange by precursor, and no row holds another's values.
     """
-    w = W.partitionBy(*PRECURSOR_KEY).orderBy(F.asc_nulls_last("LibraryIntensity"), *ties(df, order))
-    full = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = by_precursor(df).withColumns({"_specloom_r": F.row_number().over(w), "_specloom_n": F.count("*").over(full), "_specloom_v": F.collect_list("LibraryIntensity").over(full)})
-    return rows.withColumn("LibraryIntensity", F.get("_specloom_v", F.col("_specloom_n") - F.col("_specloom_r"))).drop("_specloom_r", "_specloom_n", "_specloom_v")
+    side, value, last = F.col("_specloom_side"), F.col("LibraryIntensity"), ties(df, order)
+    keep = ["LibraryIntensity", *PRECURSOR_KEY]
+    both = by_precursor(df).withColumn("_specloom_side", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = both.select(*[c if c in keep else F.when(side == 0, F.col(c)).alias(c) for c in df.columns], "_specloom_side")
+    from_end = [F.when(side == 0, value.isNull()).otherwise(value.isNotNull()), F.when(side == 0, value).otherwise(-value)]
+    both = both.withColumn("_specloom_r", F.row_number().over(W.partitionBy(*PRECURSOR_KEY, "_specloom_side").orderBy(*from_end, *last)))
+    mirrored = F.max(F.when(side == 1, value)).over(W.partitionBy(*PRECURSOR_KEY, "_specloom_r"))
+    return both.withColumn("LibraryIntensity", mirrored).where(side == 0).drop("_specloom_side", "_specloom_r").select(*df.columns)

@@ -41,7 +41,7 @@ def peptides(spans: DataFrame, **limits) -> DataFrame:
     """One row a peptide: sorted distinct protein ids and headers, least and most missed cleavages."""
     fits, known = peptide_filter(**limits)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
-    return spans.where(fits).where(known).groupBy(F.col("peptide").alias("StrippedPeptide")).agg(joined("protein_id").alias("ProteinId"), F.count_distinct("protein_id").cast("int").alias("ProteinCount"), joined("description").alias("ProteinDescription"), F.min("missed").alias("MinMissedCleavages"), F.max("missed").alias("MaxMissedCleavages"))
+    return spans.where(fits).where(known).groupBy(F.col("peptide").alias("StrippedPeptide")).agg(joined("protein_id").alias("ProteinId"), F.size(F.collect_set("protein_id")).alias("ProteinCount"), joined("description").alias("ProteinDescription"), F.min("missed").alias("MinMissedCleavages"), F.max("missed").alias("MaxMissedCleavages"))
 
 
 def oxidation_sets(sequence: Column, enabled: bool = False, most: int = 1) -> Column:
@@ -61,14 +61,14 @@ def oxidation_sets(sequence: Column, enabled: bool = False, most: int = 1) -> Co
 
 
 def precursors(found: DataFrame, charges: str = "2,3,4", carbamidomethyl_c: bool = True, c_mod_format: str = "unimod", variable_oxidation_m: bool = False, max_variable_mods: int = 1, m_mod_format: str = "unimod", charge_length_rules: str | None = "", min_precursor_mz: float | None = None, max_precursor_mz: float | None = None, filtered: bool = True) -> DataFrame:
-    """Peptides by modification and charge, with m/z. ``filtered`` off keeps what rules and limits drop, with the reason in ``_drop``."""
+    """Peptides by modification and charge, with m/z. ``filtered`` off keeps what rules and limits drop, with the reason in ``_specloom_drop``."""
     if min_precursor_mz is not None and max_precursor_mz is not None and min_precursor_mz > max_precursor_mz:
         raise ValueError("the least precursor m/z must not be above the greatest")
-    seq, ox = F.col("StrippedPeptide"), F.col("_ox")
-    rows = found.withColumn("_ox", F.explode(oxidation_sets(seq, variable_oxidation_m, max_variable_mods)))
-    rows = rows.withColumn("_mass", P.neutral_mass(P.residue_masses(seq, carbamidomethyl_c, ox)))
+    seq, ox = F.col("StrippedPeptide"), F.col("_specloom_ox")
+    rows = found.withColumn("_specloom_ox", F.explode(oxidation_sets(seq, variable_oxidation_m, max_variable_mods)))
+    rows = rows.withColumn("_specloom_mass", P.neutral_mass(P.residue_masses(seq, carbamidomethyl_c, ox)))
     rows = rows.withColumn("PrecursorCharge", F.explode(F.array(*[F.lit(z) for z in P.parse_charges(charges)])))
-    rows = rows.withColumn("PrecursorMz", P.mz(F.col("_mass"), F.col("PrecursorCharge")))
+    rows = rows.withColumn("PrecursorMz", P.mz(F.col("_specloom_mass"), F.col("PrecursorCharge")))
     short = F.lit(False)
     for z, least in P.parse_charge_rules(charge_length_rules).items():
         short = short | ((F.col("PrecursorCharge") == z) & (F.length("StrippedPeptide") < least))
@@ -77,14 +77,14 @@ def precursors(found: DataFrame, charges: str = "2,3,4", carbamidomethyl_c: bool
         out = out | (F.col("PrecursorMz") < min_precursor_mz)
     if max_precursor_mz is not None:
         out = out | (F.col("PrecursorMz") > max_precursor_mz)
-    rows = rows.withColumn("_drop", F.when(short, "charge_length").when(out, "mz"))
+    rows = rows.withColumn("_specloom_drop", F.when(short, "charge_length").when(out, "mz"))
     names = ["ModifiedPeptide", "StrippedPeptide", "PrecursorCharge", "PrecursorMz", "ProteinId", "ProteinCount", "ProteinDescription", "PeptideLength", "MinMissedCleavages", "MaxMissedCleavages", "FixedCarbamidomethylC", "VariableOxidationM", "OxidationMPositions", "NVariableMods", "ContainsSelenocysteine"]
     rows = rows.withColumns({
         "ModifiedPeptide": P.modified_peptide(seq, carbamidomethyl_c, c_mod_format, ox if variable_oxidation_m else None, m_mod_format),
-        "PeptideLength": F.length("StrippedPeptide"), "FixedCarbamidomethylC": F.lit(carbamidomethyl_c), "VariableOxidationM": F.size("_ox") > 0,
-        "OxidationMPositions": P.format_positions(ox), "NVariableMods": F.size("_ox"), "ContainsSelenocysteine": F.contains(seq, F.lit("U")),
+        "PeptideLength": F.length("StrippedPeptide"), "FixedCarbamidomethylC": F.lit(carbamidomethyl_c), "VariableOxidationM": F.size("_specloom_ox") > 0,
+        "OxidationMPositions": P.format_positions(ox), "NVariableMods": F.size("_specloom_ox"), "ContainsSelenocysteine": F.contains(seq, F.lit("U")),
     })
-    return rows.where(F.col("_drop").isNull()).select(*names) if filtered else rows.select(*names, "_drop")
+    return rows.where(F.col("_specloom_drop").isNull()).select(*names) if filtered else rows.select(*names, "_specloom_drop")
 
 
 def precursor_table(proteins: DataFrame, enzyme: str = "trypsin-p", missed_cleavages: int = 1, min_length: int = 7, max_length: int = 30, allow_selenocysteine: bool = False, remove_invalid_aa: bool = True, **options) -> DataFrame:
@@ -98,5 +98,8 @@ def digest_stats(proteins: DataFrame, enzyme: str = "trypsin-p", missed_cleavage
     limits = {"min_length": min_length, "max_length": max_length, "allow_selenocysteine": allow_selenocysteine, "remove_invalid": remove_invalid_aa}
     fits, known = peptide_filter(**limits)
     raw = spans.agg(F.count("*").alias("n_raw_peptides"), F.count_if(~fits).alias("n_length_filtered"), F.count_if(fits & ~known).alias("n_invalid_aa_filtered"), F.count_distinct(F.when(fits & known, F.col("peptide"))).alias("n_unique_peptides"))
-    after = precursors(peptides(spans, **limits), filtered=False, **options).agg(F.count("*").alias("n_precursors_before_filters"), F.count_if(F.col("_drop") == "charge_length").alias("n_charge_length_filtered"), F.count_if(F.col("_drop") == "mz").alias("n_precursor_mz_filtered"), F.count_if(F.col("_drop").isNull()).alias("n_precursors_output"))
+    kept, first = F.col("_specloom_drop").isNull(), F.col("PrecursorCharge") == P.parse_charges(options.get("charges", "2,3,4"))[0]
+    forms = {"n_unique_modified_peptides": first, "n_oxidized_modified_peptides": first & (F.col("NVariableMods") > 0), "n_unique_selenocysteine_peptides": first & (F.col("NVariableMods") == 0) & F.col("ContainsSelenocysteine")}
+    rows = {"n_charge_length_filtered": F.col("_specloom_drop") == "charge_length", "n_precursor_mz_filtered": F.col("_specloom_drop") == "mz", "n_precursors_output": kept, "n_selenocysteine_precursors_output": kept & F.col("ContainsSelenocysteine")}
+    after = precursors(peptides(spans, **limits), filtered=False, **options).agg(F.count("*").alias("n_precursors_before_filters"), *[F.count_if(c).alias(k) for k, c in (forms | rows).items()])
     return proteins.agg(F.count("*").alias("n_proteins")).crossJoin(raw).crossJoin(after)  # one row each

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,21 +11,26 @@ from pyspark.sql import functions as F
 from specloom.schema import csv_ints, csv_words
 
 
-def predicate(df: DataFrame, fragment_types: str | None = None, fragment_charges: str | None = None, min_fragment_series: int | None = None, max_fragment_series: int | None = None, min_product_mz: float | None = None, max_product_mz: float | None = None) -> Column:
-    """True for rows that stay. Empty or absent limits, and limits on absent columns, do nothing; null values fail an active one."""
-    number = lambda c: F.col(c).try_cast("double")
+def fitting(get: Callable[[str], Column | None], fragment_types: str | None = None, fragment_charges: str | None = None, min_fragment_series: int | None = None, max_fragment_series: int | None = None, min_product_mz: float | None = None, max_product_mz: float | None = None) -> Column:
+    """True for transitions that stay; ``get`` gives the column, or the field, of a name, or None if there is none.
+    Empty or absent limits, and limits on absent columns, do nothing; null values fail an active one."""
+    number = lambda c: get(c).try_cast("double")
     tests = [
-        (csv_words(fragment_types), "FragmentType", lambda c, v: F.lower(F.col(c).cast("string")).isin(v)),
+        (csv_words(fragment_types), "FragmentType", lambda c, v: F.lower(get(c).cast("string")).isin(v)),
         (csv_ints(fragment_charges), "FragmentCharge", lambda c, v: number(c).isin([float(x) for x in v])),
         (min_fragment_series, "FragmentSeriesNumber", lambda c, v: number(c) >= v),
         (max_fragment_series, "FragmentSeriesNumber", lambda c, v: number(c) <= v),
         (min_product_mz, "ProductMz", lambda c, v: number(c) >= v),
         (max_product_mz, "ProductMz", lambda c, v: number(c) <= v),
     ]
-    active = [f(c, v) for v, c, f in tests if v not in (None, []) and c in df.columns]
+    active = [f(c, v) for v, c, f in tests if v not in (None, []) and get(c) is not None]
     return F.coalesce(reduce(lambda a, b: a & b, active, F.lit(True)), F.lit(False))
 
 
+def predicate(df: DataFrame, **limits) -> Column:
+    return fitting(lambda c: F.col(c) if c in df.columns else None, **limits)
+
+
 def filter_transitions(df: DataFrame, **limits) -> DataFrame:
     return df.where(predicate(df, **limits))
 
@@ -34,10 +40,10 @@ def filter_stats(df: DataFrame, **limits) -> DataFrame:
     return df.agg(F.count("*").alias("n_transitions_before_transition_filters"), (F.count("*") - kept).alias("n_transitions_filtered_by_transition_filters"), kept.alias("n_transitions_after_transition_filters"))
 
 
-def unsupported(df: DataFrame) -> Column:
+def unsupported(df: DataFrame, sequence: str = "StrippedPeptide") -> Column:
     """Whether a peptide holds selenocysteine; modification names do not count."""
-    if "StrippedPeptide" in df.columns:
-        return F.contains(F.upper(F.coalesce("StrippedPeptide", F.lit(""))), F.lit("U"))
+    if sequence in df.columns:
+        return F.contains(F.upper(F.coalesce(sequence, F.lit(""))), F.lit("U"))
     return F.contains(F.upper(F.regexp_replace(F.coalesce("ModifiedPeptide", F.lit("")), r"[(\[][^)\]]*[)\]]", "")), F.lit("U"))
 
 

@@ -26,3 +26,8 @@ def chunk_rollup(df: DataFrame, chunk: str) -> DataFrame:
     """Counts by chunk rolled up; mean and median are exact over all precursors, not over the chunks' medians."""
     by = df.groupBy(chunk, *PRECURSOR_KEY).agg(F.count("*").alias("n"))
     return by.agg(F.count_distinct(chunk).alias("n_chunks"), F.count("*").alias("n_precursors"), F.sum("n").cast("bigint").alias("n_transitions"), F.avg("n").alias("mean"), F.median("n").cast("double").alias("median"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def roll_up(summaries: list[dict[str, str]], counters: list[str]) -> dict[str, int]:
+    """Sums of the counters that any of the chunks' summaries hold; a row a chunk."""
+    return {c: sum(int(float(s.get(c, 0))) for s in summaries) for c in counters if any(c in s for s in summaries)}

@@ -10,13 +10,13 @@ from specloom.operators.filters import unsupported
 from specloom.schema import PRECURSOR_KEY, require
 
 
-def stratified(df: DataFrame, size: int | None, charge: str = "PrecursorCharge", seed: int = 42, drop_unsupported: bool = True, key: list[str] | None = None) -> DataFrame:
+def stratified(df: DataFrame, size: int | None, charge: str = "PrecursorCharge", seed: int = 42, drop_unsupported: bool = True, key: list[str] | None = None, sequence: str = "StrippedPeptide") -> DataFrame:
     """``size`` rows, as many of each charge (the first charges one more), those of least seeded MD5; what a charge lacks the others fill.
 
     The charges are few, so their quotas are one small table; no window holds more than a charge's rows, cut by WindowGroupLimit.
     """
     require(df, [charge])
-    rows = df.where(~unsupported(df)) if drop_unsupported else df
+    rows = df.where(~unsupported(df, sequence)) if drop_unsupported else df
     if size is None or size <= 0:
         return rows
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key or PRECURSOR_KEY]))

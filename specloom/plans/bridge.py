@@ -108,7 +108,7 @@ def q_consensus(spark, sf):
 
 
 def q_input_stats(spark, sf):
-    return combine.input_stats(lib_a(spark, sf), lib_b(spark, sf).where("PrecursorCharge < 3"))
+    return combine.input_stats(lib_a(spark, sf), lib_b(spark, sf))
 
 
 def q_random_n(spark, sf):
@@ -168,7 +168,7 @@ def _peptides(enzyme):
 
 
 def q_spans(spark, sf):
-    return digest.digest(proteins(spark, sf), "trypsin", 1).groupBy("missed").agg(F.count("*").alias("n"), F.count_distinct("peptide").alias("peptides"))
+    return digest.digest(proteins(spark, sf), "trypsin", 1).groupBy("protein_id", "peptide", "missed").agg(F.count("*").alias("n"))
 
 
 def q_precursors(spark, sf):
@@ -181,7 +181,7 @@ def q_oxidation(spark, sf):
 
 
 def q_rules(spark, sf):
-    return digest.precursor_table(proteins(spark, sf), charges="2,3,4", charge_length_rules="4:12,3:9", min_precursor_mz=400.0, max_precursor_mz=1200.0).groupBy("PrecursorCharge").agg(F.count("*").alias("n"), F.round(F.min("PrecursorMz"), 5).alias("least"), F.round(F.max("PrecursorMz"), 5).alias("most"))
+    return digest.precursor_table(proteins(spark, sf), charges="2,3,4", charge_length_rules="4:12,3:9", min_precursor_mz=400.0, max_precursor_mz=1200.0).select("ModifiedPeptide", "PrecursorCharge", F.round("PrecursorMz", 5).alias("PrecursorMz"), "PeptideLength")
 
 
 def q_digest_stats(spark, sf):
@@ -203,16 +203,16 @@ def q_rt_mock(spark, sf):
 
 
 def q_rt_input(spark, sf):
-    return predict.rt_model_input(words(spark, sf).where("PrecursorCharge = 2")).select("ModifiedPeptide", "seq", "modifications")
+    return predict.rt_model_input(words(spark, sf)).select("ModifiedPeptide", "PrecursorCharge", "seq", "modifications")
 
 
 def q_sample(spark, sf):
-    rows = lib_a(spark, sf).select(*PRECURSOR_KEY).distinct().where("PrecursorCharge < 3 or ModifiedPeptide < 'PEP15'")
+    rows = lib_a(spark, sf).select(*PRECURSOR_KEY).distinct()
     return sample.stratified(rows, 100)
 
 
 def q_unnest(spark, sf):
-    e = _table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("intensities"))
+    e = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("intensities"))
     e = e.withColumn("annotation", F.transform("intensities", lambda x, i: F.concat(F.when(i % 2 == 0, "y").otherwise("b"), (i + 1).cast("string"), F.when(i % 3 == 0, "^2").otherwise(""))))
     rows = predict.unnest(e).withColumn("a", P.annotation(F.col("annotation")))
     return filters.positive_intensity(rows, column="intensities").select("vec_id", F.round("intensities", 6).alias("intensity"), "a.ion", "a.number", "a.charge")
@@ -223,21 +223,69 @@ def q_positions(spark, sf):
     return e.select("event_id", P.format_positions(P.parse_positions(F.col("text"))).alias("positions"))
 
 
-def _model():
-    """A caller that answers three y ions for each row."""
+def _three_ions(keyed: bool):
+    """A caller that answers three y ions for each row: with the row's sequence and charge, or with its position."""
 
-    def call(frame):
-        three = frame.loc[frame.index.repeat(3), ["_row"]].reset_index(drop=True)
-        number = three.index % 3 + 1
-        return three.assign(annotation=["y" + str(n) for n in number], intensities=number * 10.0)
+    def make():
+        def call(frame):
+            three = frame.loc[frame.index.repeat(3)]
+            number = [1, 2, 3] * len(frame)
+            out = three[["peptide_sequences", "precursor_charges"]].reset_index(drop=True) if keyed else three.index.to_frame(index=False, name="input_index")
+            return out.assign(annotation=[f"y{n}" for n in number], intensities=[n * 10.0 for n in number]).iloc[::-1]
 
-    return call
+        return call
 
+    return make
 
-def q_model(spark, sf):
-    rows = words(spark, sf)
-    out = predict.ModelPredictor(_model, "annotation string, intensities double", "fixed").predict(rows)
-    return out.select("ModifiedPeptide", "PrecursorCharge", F.round("ProductMz", 6).alias("ProductMz"), "LibraryIntensity", "FragmentType", "FragmentSeriesNumber", "FragmentCharge")
+
+def _arrays():
+    return lambda frame: frame[[]].assign(annotation=[["y1", "y2", "y3"]] * len(frame), intensities=[[10.0, 20.0, 30.0]] * len(frame))
+
+
+def _model_query(client, schema):
+    def q(spark, sf):
+        out = predict.ModelPredictor(client, schema, "fixed").predict(words(spark, sf))
+        return out.select("ModifiedPeptide", "PrecursorCharge", F.round("ProductMz", 6).alias("ProductMz"), "LibraryIntensity", "FragmentType", "FragmentSeriesNumber", "FragmentCharge")
+
+    return q
+
+
+def _calibrated(calibration):
+    """Half a minute a residue, moved by the mean difference to the calibration."""
+    off = (calibration["tr"] - calibration["seq"].str.len() * 0.5).mean()
+    return lambda frame: frame["seq"].str.len() * 0.5 + off
+
+
+def q_rt_calibrated(spark, sf):
+    known = digest.peptides(digest.digest(proteins(spark, sf), "trypsin-p", 0)).select(F.col("StrippedPeptide").alias("seq"), F.lit("").alias("modifications"), (F.length("StrippedPeptide") * 0.75 + 3).alias("tr"))
+    rows = predict.predict_rt(words(spark, sf), "deeplc", model=lambda table: _calibrated(table), calibration=known)
+    return rows.select("ModifiedPeptide", "PrecursorCharge", F.round("NormalizedRetentionTime", 6).alias("NormalizedRetentionTime"))
+
+
+def q_rt_times(spark, sf):
+    return predict.rt_stats(predict.predict_rt(words(spark, sf), "mock"))
+
+
+def q_supported(spark, sf):
+    rows = digest.precursor_table(proteins(spark, sf), charges="2", allow_selenocysteine=True)
+    return filters.supported_only(rows, drop=True).select("StrippedPeptide", "ContainsSelenocysteine")
+
+
+def q_unsupported(spark, sf):
+    rows = digest.precursor_table(proteins(spark, sf), charges="2", allow_selenocysteine=True).where("ContainsSelenocysteine")
+    return rows.select("ModifiedPeptide", "StrippedPeptide", F.round("PrecursorMz", 6).alias("PrecursorMz"))
+
+
+def q_digest_stats_u(spark, sf):
+    return digest.digest_stats(proteins(spark, sf), charges="2", variable_oxidation_m=True, allow_selenocysteine=True)
+
+
+def _notation(form):
+    def q(spark, sf):
+        rows = digest.precursor_table(proteins(spark, sf), charges="2", variable_oxidation_m=True, c_mod_format=form, m_mod_format=form)
+        return rows.select("ModifiedPeptide", "StrippedPeptide", "OxidationMPositions")
+
+    return q
 
 
 QUERIES = {
@@ -247,8 +295,11 @@ QUERIES = {
     "attach_rt_stats": q_rt_stats, "minimal_projection": q_minimal, "digest_trypsin_p": _peptides("trypsin-p"), "digest_trypsin": _peptides("trypsin"), "digest_spans": q_spans,
     "precursor_table": q_precursors, "precursor_oxidation_m": q_oxidation, "charge_length_filter": q_rules, "digest_stats": q_digest_stats, "mock_predict": q_mock,
     "mock_predict_max_n": q_mock_max_n, "predict_rt_mock": q_rt_mock, "rt_model_input": q_rt_input, "stratified_sample": q_sample, "array_predictions_unnest": q_unnest,
-    "parse_positions": q_positions, "model_predict": q_model,
-}
+    "parse_positions": q_positions, "model_predict": _model_query(_arrays, "annotation array<string>, intensities array<double>"),
+    "koina_long_by_key": _model_query(_three_ions(True), "peptide_sequences string, precursor_charges int, annotation string, intensities double"),
+    "koina_long_by_position": _model_query(_three_ions(False), "input_index long, annotation string, intensities double"),
+    "rt_calibrated": q_rt_calibrated, "rt_stats": q_rt_times, "supported_only": q_supported, "selenocysteine_precursors": q_unsupported, "digest_stats_oxidation_u": q_digest_stats_u,
+} | {f"notation_{form}": _notation(form) for form in P.C_FORMS if form != "unimod"}
 
 _FILTER = "lower(FragmentType) IN ('y') AND FragmentCharge = 1 AND FragmentSeriesNumber BETWEEN 2 AND 6 AND ProductMz BETWEEN 50 AND 400"
 _SIZES = f"by_p AS (SELECT {K}, count(*) AS n FROM lib_a GROUP BY {K}) "
@@ -261,7 +312,7 @@ ORACLE_SQL = {
     "union2n": CTE + f"SELECT {KEEP} FROM (SELECT *, row_number() OVER (PARTITION BY {T} ORDER BY src) AS one FROM (SELECT *, 0 AS src FROM ra WHERE rk <= 7 UNION ALL SELECT *, 1 AS src FROM rb WHERE rk <= 7)) WHERE one = 1",
     "consensus": CTE + f"SELECT {KEEP}, round(score, 9) AS ConsensusScore FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY score DESC, rka NULLS LAST, rkb NULLS LAST, FragmentType, FragmentSeriesNumber, FragmentCharge, ProductMz) AS k FROM (SELECT "
     + ", ".join(f"coalesce(ra.{c}, rb.{c}) AS {c}" for c in KEPT) + ", ra.rk AS rka, rb.rk AS rkb, coalesce(1.0 / ra.rk, 0) + coalesce(1.0 / rb.rk, 0) AS score FROM ra FULL JOIN rb ON " + " AND ".join(f"ra.{c} = rb.{c}" for c in TRANSITION_KEY) + ")) WHERE k <= 7",
-    "two_input_stats": CTE + f", pa AS (SELECT DISTINCT {K} FROM lib_a), sb AS (SELECT * FROM lib_b WHERE PrecursorCharge < 3), pb AS (SELECT DISTINCT {K} FROM sb) SELECT (SELECT count(*) FROM pa) AS n_precursors_input_a, (SELECT count(*) FROM pb) AS n_precursors_input_b, (SELECT count(*) FROM lib_a) AS n_transitions_input_a, (SELECT count(*) FROM sb) AS n_transitions_input_b, (SELECT count(*) FROM (FROM pa INTERSECT FROM pb)) AS n_common_precursors, (SELECT count(*) FROM (FROM pa EXCEPT FROM pb)) AS n_a_only_precursors, (SELECT count(*) FROM (FROM pb EXCEPT FROM pa)) AS n_b_only_precursors",
+    "two_input_stats": CTE + f", pa AS (SELECT DISTINCT {K} FROM lib_a), pb AS (SELECT DISTINCT {K} FROM lib_b) SELECT (SELECT count(*) FROM pa) AS n_precursors_input_a, (SELECT count(*) FROM pb) AS n_precursors_input_b, (SELECT count(*) FROM lib_a) AS n_transitions_input_a, (SELECT count(*) FROM lib_b) AS n_transitions_input_b, (SELECT count(*) FROM (FROM pa INTERSECT FROM pb)) AS n_common_precursors, (SELECT count(*) FROM (FROM pa EXCEPT FROM pb)) AS n_a_only_precursors, (SELECT count(*) FROM (FROM pb EXCEPT FROM pa)) AS n_b_only_precursors",
     "random_n": CTE + f"SELECT {KEEP} FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY md5(concat_ws('|', '42', {T}))) AS r FROM da) WHERE r <= 3",
     "reverse_intensity": CTE + f", r AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY LibraryIntensity, {TIES}) AS r, count(*) OVER (PARTITION BY {K}) AS n FROM lib_a) SELECT {', '.join('b.LibraryIntensity' if c == 'LibraryIntensity' else 'a.' + c for c in KEPT)} FROM r a JOIN r b ON a.ModifiedPeptide = b.ModifiedPeptide AND a.PrecursorCharge = b.PrecursorCharge AND b.r = a.n - a.r + 1",
     "filter_transitions": CTE + f"SELECT {KEEP} FROM lib_a WHERE {_FILTER}",
@@ -275,18 +326,32 @@ ORACLE_SQL = {
     "minimal_projection": CTE + f"SELECT {L}, ModifiedPeptide AS StrippedPeptide, 'P' AS ProteinId FROM lib_a",
     "digest_trypsin_p": PEPTIDES["trypsin-p"] + "SELECT * FROM found",
     "digest_trypsin": PEPTIDES["trypsin"] + "SELECT * FROM found",
-    "digest_spans": PEPTIDES["trypsin"] + "SELECT CAST(missed AS INT) AS missed, count(*) AS n, count(DISTINCT peptide) AS peptides FROM spans GROUP BY 1",
+    "digest_spans": PEPTIDES["trypsin"] + "SELECT protein_id, peptide, CAST(missed AS INT) AS missed, count(*) AS n FROM spans GROUP BY ALL",
     "precursor_table": PRECURSORS + "SELECT ModifiedPeptide, StrippedPeptide, PrecursorCharge, round(PrecursorMz, 6) AS PrecursorMz, ProteinId, ProteinCount FROM prec",
     "precursor_oxidation_m": PRECURSORS + ", ox AS (SELECT *, unnest(list_prepend(0, list_filter(range(1, length(StrippedPeptide) + 1), lambda i: StrippedPeptide[i] = 'M'))) AS pos FROM prec WHERE PrecursorCharge = 2) SELECT CASE WHEN pos = 0 THEN ModifiedPeptide ELSE replace(left(StrippedPeptide, CAST(pos AS INT) - 1), 'C', 'C(UniMod:4)') || 'M(UniMod:35)' || replace(substr(StrippedPeptide, CAST(pos AS INT) + 1), 'C', 'C(UniMod:4)') END AS ModifiedPeptide, StrippedPeptide, round(PrecursorMz + CASE WHEN pos = 0 THEN 0 ELSE 15.994914620 / 2 END, 6) AS PrecursorMz, CASE WHEN pos = 0 THEN '' ELSE CAST(pos AS VARCHAR) END AS OxidationMPositions, CAST(pos > 0 AS INT) AS NVariableMods, pos > 0 AS VariableOxidationM FROM ox",
-    "charge_length_filter": PRECURSORS.replace("unnest([2, 3])", "unnest([2, 3, 4])") + "SELECT PrecursorCharge, count(*) AS n, round(min(PrecursorMz), 5) AS least, round(max(PrecursorMz), 5) AS most FROM prec WHERE NOT (PrecursorCharge = 4 AND length(StrippedPeptide) < 12) AND NOT (PrecursorCharge = 3 AND length(StrippedPeptide) < 9) AND PrecursorMz BETWEEN 400 AND 1200 GROUP BY 1",
-    "digest_stats": PRECURSORS + "SELECT (SELECT count(*) FROM proteins) AS n_proteins, (SELECT count(*) FROM spans) AS n_raw_peptides, (SELECT count(*) FROM spans WHERE length(peptide) NOT BETWEEN 7 AND 30) AS n_length_filtered, (SELECT count(*) FROM spans WHERE length(peptide) BETWEEN 7 AND 30 AND NOT regexp_full_match(peptide, '[ACDEFGHIKLMNPQRSTVWY]+')) AS n_invalid_aa_filtered, (SELECT count(*) FROM found) AS n_unique_peptides, (SELECT count(*) FROM prec) AS n_precursors_before_filters, CAST(0 AS BIGINT) AS n_charge_length_filtered, CAST(0 AS BIGINT) AS n_precursor_mz_filtered, (SELECT count(*) FROM prec) AS n_precursors_output",
+    "charge_length_filter": PRECURSORS.replace("unnest([2, 3])", "unnest([2, 3, 4])") + "SELECT ModifiedPeptide, PrecursorCharge, round(PrecursorMz, 5) AS PrecursorMz, CAST(length(StrippedPeptide) AS INT) AS PeptideLength FROM prec WHERE NOT (PrecursorCharge = 4 AND length(StrippedPeptide) < 12) AND NOT (PrecursorCharge = 3 AND length(StrippedPeptide) < 9) AND PrecursorMz BETWEEN 400 AND 1200",
+    "digest_stats": PRECURSORS + "SELECT (SELECT count(*) FROM proteins) AS n_proteins, (SELECT count(*) FROM spans) AS n_raw_peptides, (SELECT count(*) FROM spans WHERE length(peptide) NOT BETWEEN 7 AND 30) AS n_length_filtered, (SELECT count(*) FROM spans WHERE length(peptide) BETWEEN 7 AND 30 AND NOT regexp_full_match(peptide, '[ACDEFGHIKLMNPQRSTVWY]+')) AS n_invalid_aa_filtered, (SELECT count(*) FROM found) AS n_unique_peptides, (SELECT count(*) FROM prec) AS n_precursors_before_filters, CAST(0 AS BIGINT) AS n_charge_length_filtered, CAST(0 AS BIGINT) AS n_precursor_mz_filtered, (SELECT count(*) FROM prec) AS n_precursors_output, (SELECT count(*) FROM found) AS n_unique_modified_peptides, CAST(0 AS BIGINT) AS n_oxidized_modified_peptides, CAST(0 AS BIGINT) AS n_unique_selenocysteine_peptides, CAST(0 AS BIGINT) AS n_selenocysteine_precursors_output",
     "mock_predict": MOCK + "SELECT ModifiedPeptide, PrecursorCharge, round(PrecursorMz, 3) AS PrecursorMz, round(ProductMz, 3) AS ProductMz, round(LibraryIntensity, 3) AS LibraryIntensity, FragmentType, FragmentSeriesNumber, FragmentCharge, ProteinId FROM mock",
     "mock_predict_max_n": MOCK + f"SELECT ModifiedPeptide, PrecursorCharge, round(LibraryIntensity, 3) AS LibraryIntensity, FragmentType, FragmentSeriesNumber FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY LibraryIntensity DESC, FragmentType, FragmentSeriesNumber) AS k FROM mock) WHERE k <= 3",
     "predict_rt_mock": PRECURSORS + "SELECT ModifiedPeptide, PrecursorCharge, 0.5 * length(StrippedPeptide) + 0.25 * (length(StrippedPeptide) - length(replace(StrippedPeptide, 'C', ''))) AS NormalizedRetentionTime FROM prec",
-    "rt_model_input": PRECURSORS + "SELECT ModifiedPeptide, StrippedPeptide AS seq, array_to_string(list_transform(list_filter(range(1, length(StrippedPeptide) + 1), lambda i: StrippedPeptide[i] = 'C'), lambda i: i || '|Carbamidomethyl'), '|') AS modifications FROM prec WHERE PrecursorCharge = 2",
-    "stratified_sample": CTE + f", rows_ AS (SELECT DISTINCT {K} FROM lib_a WHERE PrecursorCharge < 3 OR ModifiedPeptide < 'PEP15'), h AS (SELECT *, md5(concat_ws('|', '42', {K})) AS h FROM rows_), q AS (SELECT PrecursorCharge AS c, 100 // (count(*) OVER ()) + CAST(row_number() OVER (ORDER BY PrecursorCharge) <= 100 % (count(*) OVER ()) AS INT) AS q FROM (SELECT DISTINCT PrecursorCharge FROM rows_)), r AS (SELECT *, row_number() OVER (PARTITION BY PrecursorCharge ORDER BY h) AS r FROM h JOIN q ON c = PrecursorCharge) SELECT {K} FROM r ORDER BY CASE WHEN r <= q THEN 0 ELSE 1 END, h LIMIT 100",
-    "array_predictions_unnest": "SELECT vec_id, round(x, 6) AS intensity, CASE WHEN i % 2 = 0 THEN 'y' ELSE 'b' END AS ion, CAST(i + 1 AS INT) AS number, CAST(CASE WHEN i % 3 = 0 THEN 2 ELSE 1 END AS INT) AS charge FROM (SELECT vec_id, CAST(embedding[i + 1] AS DOUBLE) AS x, i FROM embeddings, (SELECT unnest(range(8)) AS i)) WHERE x > 0",
+    "rt_model_input": PRECURSORS + "SELECT ModifiedPeptide, PrecursorCharge, StrippedPeptide AS seq, array_to_string(list_transform(list_filter(range(1, length(StrippedPeptide) + 1), lambda i: StrippedPeptide[i] = 'C'), lambda i: i || '|Carbamidomethyl'), '|') AS modifications FROM prec",
+    "stratified_sample": CTE + f", rows_ AS (SELECT DISTINCT {K} FROM lib_a), h AS (SELECT *, md5(concat_ws('|', '42', {K})) AS h FROM rows_), q AS (SELECT PrecursorCharge AS c, 100 // (count(*) OVER ()) + CAST(row_number() OVER (ORDER BY PrecursorCharge) <= 100 % (count(*) OVER ()) AS INT) AS q FROM (SELECT DISTINCT PrecursorCharge FROM rows_)), r AS (SELECT *, row_number() OVER (PARTITION BY PrecursorCharge ORDER BY h) AS r FROM h JOIN q ON c = PrecursorCharge) SELECT {K} FROM r ORDER BY CASE WHEN r <= q THEN 0 ELSE 1 END, h LIMIT 100",
+    "array_predictions_unnest": "SELECT vec_id, round(x, 6) AS intensity, CASE WHEN i % 2 = 0 THEN 'y' ELSE 'b' END AS ion, CAST(i + 1 AS INT) AS number, CAST(CASE WHEN i % 3 = 0 THEN 2 ELSE 1 END AS INT) AS charge FROM (SELECT vec_id, CAST(embedding[i + 1] AS DOUBLE) AS x, i FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)) WHERE x > 0",
     "parse_positions": "SELECT event_id, least(event_id % 9 + 1, event_id % 5 + 2) || ';' || greatest(event_id % 9 + 1, event_id % 5 + 2) AS positions FROM events",
     "model_predict": PRECURSORS + ", y AS (SELECT *, unnest([1, 2, 3]) AS n FROM prec) SELECT ModifiedPeptide, PrecursorCharge, round(18.010564684 + " + SUM.replace("{s}", "right(StrippedPeptide, CAST(n AS INT))") + " + 1.007276466621, 6) AS ProductMz, CAST(n * 10 AS DOUBLE) AS LibraryIntensity, 'y' AS FragmentType, CAST(n AS INT) AS FragmentSeriesNumber, CAST(1 AS INT) AS FragmentCharge FROM y",
 }
+WITH_U = PRECURSORS.replace("[ACDEFGHIKLMNPQRSTVWY]+", "[ACDEFGHIKLMNPQRSTVWYU]+").replace("unnest([2, 3])", "unnest([2])")
+OXIDISED = ", ox AS (SELECT *, unnest(list_prepend(0, list_filter(range(1, length(StrippedPeptide) + 1), lambda i: StrippedPeptide[i] = 'M'))) AS pos FROM prec WHERE PrecursorCharge = 2) "
+ORACLE_SQL |= {
+    "koina_long_by_key": ORACLE_SQL["model_predict"], "koina_long_by_position": ORACLE_SQL["model_predict"],
+    "rt_calibrated": PRECURSORS + ", known AS (SELECT DISTINCT StrippedPeptide AS s FROM found WHERE MinMissedCleavages = 0), off AS (SELECT avg(length(s) * 0.25e0 + 3) AS v FROM known) SELECT ModifiedPeptide, PrecursorCharge, round(length(StrippedPeptide) * 0.5e0 + v, 6) AS NormalizedRetentionTime FROM prec, off",
+    "rt_stats": "SELECT count(*) AS n_precursor_rows_input, count(t) AS n_precursor_rows_with_rt, min(t) AS rt_min, max(t) AS rt_max, median(t) AS rt_median FROM (SELECT CAST(NormalizedRetentionTime AS DOUBLE) AS t FROM (" + ORACLE_SQL["predict_rt_mock"] + "))",
+    "supported_only": WITH_U + "SELECT StrippedPeptide, false AS ContainsSelenocysteine FROM prec WHERE NOT contains(StrippedPeptide, 'U')",
+    "selenocysteine_precursors": WITH_U + "SELECT ModifiedPeptide, StrippedPeptide, round(PrecursorMz, 6) AS PrecursorMz FROM prec WHERE contains(StrippedPeptide, 'U')",
+    "digest_stats_oxidation_u": WITH_U + OXIDISED + "SELECT (SELECT count(*) FROM proteins) AS n_proteins, (SELECT count(*) FROM spans) AS n_raw_peptides, (SELECT count(*) FROM spans WHERE length(peptide) NOT BETWEEN 7 AND 30) AS n_length_filtered, (SELECT count(*) FROM spans WHERE length(peptide) BETWEEN 7 AND 30 AND NOT regexp_full_match(peptide, '[ACDEFGHIKLMNPQRSTVWYU]+')) AS n_invalid_aa_filtered, (SELECT count(*) FROM found) AS n_unique_peptides, (SELECT count(*) FROM ox) AS n_precursors_before_filters, (SELECT count(*) FROM ox) AS n_unique_modified_peptides, (SELECT count(*) FROM ox WHERE pos > 0) AS n_oxidized_modified_peptides, (SELECT count(*) FROM found WHERE contains(StrippedPeptide, 'U')) AS n_unique_selenocysteine_peptides, CAST(0 AS BIGINT) AS n_charge_length_filtered, CAST(0 AS BIGINT) AS n_precursor_mz_filtered, (SELECT count(*) FROM ox) AS n_precursors_output, (SELECT count(*) FROM ox WHERE contains(StrippedPeptide, 'U')) AS n_selenocysteine_precursors_output",
+}
+for form in P.C_FORMS:
+    if form != "unimod":
+        c, m = P.C_FORMS[form], P.M_FORMS[form]
+        ORACLE_SQL[f"notation_{form}"] = PRECURSORS + OXIDISED + f"SELECT CASE WHEN pos = 0 THEN replace(StrippedPeptide, 'C', '{c}') ELSE replace(left(StrippedPeptide, CAST(pos AS INT) - 1), 'C', '{c}') || '{m}' || replace(substr(StrippedPeptide, CAST(pos AS INT) + 1), 'C', '{c}') END AS ModifiedPeptide, StrippedPeptide, CASE WHEN pos = 0 THEN '' ELSE CAST(pos AS VARCHAR) END AS OxidationMPositions FROM ox"
 ORACLE_SQL = {k: v.replace("AS STRING", "AS VARCHAR") for k, v in ORACLE_SQL.items()}

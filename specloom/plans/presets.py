@@ -27,6 +27,7 @@ def names() -> list[str]:
 
 
 def _resolve(which: int, preset: str, defaults: dict[str, Any], given: dict[str, Any]) -> dict[str, Any]:
+    preset = preset.strip().lower()
     if preset not in PRESETS:
         raise ValueError(f"preset {preset!r} is not one of {', '.join(names())}")
     return defaults | PRESETS[preset][which] | {k: v for k, v in given.items() if v is not None}

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Column names of libraries and their keys.
 PRECURSOR_KEY = ["ModifiedPeptide", "PrecursorCharge"]
 TRANSITION_KEY = [*PRECURSOR_KEY, "FragmentType", "FragmentSeriesNumber", "FragmentCharge"]
 LIBRARY_COLUMNS = ["ModifiedPeptide", "PrecursorCharge", "PrecursorMz", "ProductMz", "LibraryIntensity", "FragmentType", "FragmentSeriesNumber", "FragmentCharge"]
@@ -58,10 +59,10 @@ def drop_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(HELPER)])
 
 
-def find_column(df: DataFrame, preferred: str | None, candidates: Sequence[str]) -> str | None:
-    if preferred in df.columns:
+def find_name(names: Sequence[str], preferred: str | None, candidates: Sequence[str]) -> str | None:
+    if preferred in names:
         return preferred
-    by_lower = {c.lower(): c for c in df.columns}
+    by_lower = {c.lower(): c for c in names}
     return next((by_lower[c.lower()] for c in candidates if c.lower() in by_lower), None)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from functools import reduce
 from pathlib import PurePosixPath
 from typing import Any
 
@@ -47,7 +49,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     if end == ".parquet":
         return spark.read.parquet(str(path))
     reader = spark.read.options(header=True, sep=FORMS[end], nullValue="", emptyValue="")
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(str(path))
+    return strip_headers((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(str(path)))
 
 
 def with_order(df: DataFrame, name: str = "_specloom_ord") -> DataFrame:
@@ -95,22 +97,40 @@ def write_summary(spark: SparkSession, row: dict[str, Any], path: str) -> None:
     _write_text(spark, path, line(row) + "\n" + line(row.values()) + "\n")
 
 
+def read_summaries(spark: SparkSession, paths: list[str]) -> list[dict[str, Any]]:
+    """Rows of summary files, a line each, as text; absent fields are missing keys."""
+    rows = []
+    for path in paths:
+        names, values = (line["value"].split("\t") for line in spark.read.text(path).limit(2).collect())
+        rows.append({k: v for k, v in zip(names, values, strict=True) if v != ""})
+    return rows
+
+
+def write_json(spark: SparkSession, content: dict[str, Any], path: str) -> None:
+    _write_text(spark, path, json.dumps(content, indent=2, default=str) + "\n")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def write_params(spark: SparkSession, params: dict[str, Any], path: str) -> None:
     _write_text(spark, path, json.dumps({"version": specloom.__version__, **params}, indent=2, default=str) + "\n")
 
 
-def merge_tables(spark: SparkSession, paths: list[str], path: str, columns: list[str] | None = None, single_file: bool = True) -> DataFrame:
-    """Chunks of one schema as one table, with the chosen columns; the commit of the writer makes it atomic."""
+def merge_tables(spark: SparkSession, paths: list[str], path: str, columns: list[str] | None = None, single_file: bool = True, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Chunks as one table, with the chosen columns, sorted by ``order``; the commit of the writer makes it atomic."""
     if not paths:
         raise ValueError("there are no chunks to merge")
-    parts = [read_table(spark, p) for p in paths]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part, allowMissingColumns=True)
+    if {form_of(p) for p in paths} == {".parquet"}:
+        merged = spark.read.option("mergeSchema", True).parquet(*paths)
+    else:
+        merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_table(spark, p) for p in paths])
     if columns:
         require(merged, columns)
         merged = merged.select(*columns)
-    write_table(merged, path, single_file)
+    write_table(order(merged) if order else merged, path, single_file)
     return merged
 
 
