@@ -5,8 +5,8 @@ an edit changes only the paragraphs near it. They are hashed to a set of 64-bit
 of each of three tables; a cell holds a count, the xor of its digests and the xor of their check hashes. Subtracting two
 sketches cell by cell leaves the digests that differ, which peeling recovers: a cell with count one and a fitting check
 is a digest, which is then taken out of its other cells. If cells remain, larger sketches are made: the
-digests are split into groups of about eight by a further hash, with 24 cells a group; a group that fails again gets 96
-cells, then 384, 1,536, and 1,536 by other bits. A group that never peels (chance about 1e-14) is an error: digests are never compared as sets.
+digests are split into groups of about four by a further hash, with 12 cells a group; a group that fails again gets 48
+cells, then 192, 1,536, and 1,536 by other bits. A group that never peels (chance about 1e-14) is an error: digests are never compared as sets.
 ``tier`` says how far a pair had to go: 0 first sketches, 1 to 5 the groups' sizes. The fingerprint is the first sketch, 24 cells in hexadecimal, so
 it has one size for texts of any length.
 
@@ -25,7 +25,7 @@ from specloom.llm.common import text_of
 
 PARAGRAPH = r"[^\n]{1,64}[^\n.!?]{0,192}[.!?]*"
 #: Cells' bits a table and the first digest bit used, of the sketches that a group of digests is retried with.
-TIERS = ((3, 0), (5, 0), (7, 0), (9, 0), (9, 27))
+TIERS = ((2, 0), (4, 0), (6, 0), (9, 0), (9, 27))
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -53,10 +53,10 @@ NONE = "cast(array() as array<bigint>)"
 def _peel(cells: str, most: str, bits: str = "3", skip: str = "0", tier: str = "0") -> str:
     """ok, tier, and the digests of the first sketch only (plus) and of the second only (minus); ``most`` digests can differ at most."""
     taken = f"transform(s.cells, (z, i) -> if({_hit('p.k', bits, skip)}, named_struct('c', z.c - p.c, 'k', z.k ^ p.k, 'h', z.h ^ p.h), z))"
-    step = f"if(p is null, s, named_struct('cells', {taken}, 'plus', if(p.c > 0, concat(s.plus, array(p.k)), s.plus), 'minus', if(p.c < 0, concat(s.minus, array(p.k)), s.minus)))"
+    step = f"if(p is null, named_struct('go', false, 'cells', s.cells, 'plus', s.plus, 'minus', s.minus), named_struct('go', true, 'cells', {taken}, 'plus', if(p.c > 0, concat(s.plus, array(p.k)), s.plus), 'minus', if(p.c < 0, concat(s.minus, array(p.k)), s.minus)))"
     pure = "get(filter(s.cells, z -> abs(z.c) = 1 and z.h = xxhash64(z.k)), 0)"
     end = f"named_struct('ok', forall(s.cells, z -> z.c = 0 and z.k = 0 and z.h = 0), 'tier', {tier}, 'plus', s.plus, 'minus', s.minus)"
-    return f"aggregate(sequence(1, greatest(1, least(3 * shiftleft(1, {bits}), {most}))), named_struct('cells', {cells}, 'plus', {NONE}, 'minus', {NONE}), (s, n) -> {_let(pure, 'p', step)}, s -> {end})"
+    return f"aggregate(sequence(1, greatest(1, least(3 * shiftleft(1, {bits}), {most}))), named_struct('go', true, 'cells', {cells}, 'plus', {NONE}, 'minus', {NONE}), (s, n) -> if(s.go, {_let(pure, 'p', step)}, s), s -> {end})"
 
 
 def _group(a: str, b: str) -> str:
@@ -72,7 +72,7 @@ def difference(cells_a: str, cells_b: str, a: str, b: str) -> Column:
     part = lambda s, salt, n, i: f"filter({s}, x -> pmod(xxhash64(x, {salt}), {n}) = {i})"
     inner = _let(part("ab.b", 1, "g.n1", "g1"), "sb", _let(part("ab.a", 1, "g.n1", "g1"), "sa", f"transform(sequence(0, g.n2 - 1), g2 -> {_let(part('sb', 2, 'g.n2', 'g2'), 'gb', _let(part('sa', 2, 'g.n2', 'g2'), 'ga', _group('ga', 'gb')))})"))
     sizes = "named_struct('n1', cast(ceil(sqrt(n)) as int), 'n2', cast(ceil(n / ceil(sqrt(n))) as int))"
-    groups = _let("greatest(1, cast(ceil((size(ab.a) + size(ab.b)) / 8) as int))", "n", _let(sizes, "g", f"flatten(transform(sequence(0, g.n1 - 1), g1 -> {inner}))"))
+    groups = _let("greatest(1, cast(ceil((size(ab.a) + size(ab.b)) / 4) as int))", "n", _let(sizes, "g", f"flatten(transform(sequence(0, g.n1 - 1), g1 -> {inner}))"))
     joined = "named_struct('ok', true, 'tier', array_max(transform(all, z -> z.tier)), 'plus', flatten(transform(all, z -> z.plus)), 'minus', flatten(transform(all, z -> z.minus)))"
     retry = _let(f"named_struct('a', {a}, 'b', {b})", "ab", _let(groups, "all", joined))
     return F.expr(_let(_peel(_less(cells_a, cells_b), f"size({a}) + size({b})"), "r", f"if(r.ok, r, {retry})"))
