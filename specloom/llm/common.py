@@ -28,11 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _folder(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table to the shared folder and reads it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/specloom-{uuid.uuid4().hex}/{name}"
+    folder, fs = _folder(spark, f"{shared_dir(spark)}/specloom-{uuid.uuid4().hex}")
+    path = f"{folder.toString()}/{name}"
     df.write.parquet(path)
+    fs.deleteOnExit(folder)  # what is not discarded before goes when the driver ends
     out = spark.read.schema(df.schema).parquet(path)
     out._specloom_path = path
     return out
@@ -41,9 +49,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes saved tables that no later plan reads, and lets Spark remove the shuffle files of plans that are done."""
     for df in tables:
-        spark, path = df.sparkSession, df._specloom_path.rpartition("/")[0]
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder, fs = _folder(df.sparkSession, df._specloom_path.rpartition("/")[0])
+        fs.delete(folder, True)
     if tables:
         tables[0].sparkSession._jvm.System.gc()
 

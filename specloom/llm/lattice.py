@@ -98,7 +98,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7
     classes = rows.where("cls is not null").groupBy("cls").agg(F.first("v").alias("v"))
     classes = save(classes.join(sizes, "cls"), "classes")
     lattice = Tables(tables, probes, scale, seed)
-    schema = pa.schema([("cell", pa.int64()), ("t", pa.int32()), ("own", pa.bool_()), ("cls", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
+    schema = pa.schema([("cell", pa.int64()), ("t", pa.int32()), ("own", pa.bool_()), ("cls", pa.int64()), ("n", pa.int64()), ("v", pa.binary()), ("single", pa.bool_())])
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -108,7 +108,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7
                 at = [i for i, v in enumerate(vs) if len(v) == dims]
                 x = np.array([vs[i] for i in at], dtype=float)
                 codes = lattice.codes(_unit(x)).view(np.int64)
-                raw = [r.tobytes() for r in x]
+                with np.errstate(over="ignore"):
+                    half = x.astype(np.float32)
+                single = (half == x).all(axis=1)  # the same numbers in half the bytes
+                raw = [h.tobytes() if s else r.tobytes() for r, h, s in zip(x, half, single, strict=True)]
                 m = tables * (1 + probes)
                 out["cell"] += codes.reshape(-1).tolist()
                 out["t"] += np.tile(np.repeat(np.arange(tables), 1 + probes), len(at)).tolist()
@@ -116,11 +119,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7
                 out["cls"] += np.repeat(cls[at], m).tolist()
                 out["n"] += np.repeat(n[at], m).tolist()
                 out["v"] += [r for r in raw for _ in range(m)]
+                out["single"] += np.repeat(single, m).tolist()
             return out
 
         return step
 
-    entries = classes.select("cls", "n", "v").mapInArrow(over_batches(make, schema), "cell bigint, t int, own boolean, cls bigint, n bigint, v binary")
+    entries = classes.select("cls", "n", "v").mapInArrow(over_batches(make, schema), "cell bigint, t int, own boolean, cls bigint, n bigint, v binary, single boolean")
     crowded = save(entries.where("own").groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("g")), "crowded")
     if not crowded.isEmpty():
         entries = entries.join(crowded, "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
@@ -133,7 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7
     def meet(table: pa.Table) -> pa.Table:
         cell, b, t = (table.column(c).to_numpy() for c in ("cell", "b", "t"))
         own, cls, n = (table.column(c).to_numpy() for c in ("own", "cls", "n"))
-        raw = table.column("v").to_pylist()
+        raw, kind = table.column("v").to_pylist(), [np.float32 if x else np.float64 for x in table.column("single").to_pylist()]
         a_col, b_col, w_col = [], [], []
         order = np.lexsort((b, cell))
         cuts = np.flatnonzero((np.diff(cell[order]) != 0) | (np.diff(b[order]) != 0)) + 1
@@ -142,7 +146,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7
             if not len(stored) or len(g) < 2:
                 continue
             used = np.array(sorted({*g.tolist()}))
-            unit = _unit(np.array([np.frombuffer(raw[i]) for i in used]))
+            unit = _unit(np.array([np.frombuffer(raw[i], kind[i]) for i in used], dtype=float))
             row_of = {i: k for k, i in enumerate(used.tolist())}
             q_at, d_at = np.array([row_of[i] for i in g.tolist()]), np.array([row_of[i] for i in stored.tolist()])
             sure_q, sure_d = [], []
@@ -187,7 +191,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7
             w_col += links[some].astype(np.int64).tolist()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", a_col), ("b", b_col), ("w", w_col))})
 
-    found = save(entries.select("part", "cell", "b", "t", "own", "cls", "n", "v").groupBy("part").applyInArrow(meet, "a bigint, b bigint, w bigint"), "links")
+    found = save(entries.select("part", "cell", "b", "t", "own", "cls", "n", "v", "single").groupBy("part").applyInArrow(meet, "a bigint, b bigint, w bigint"), "links")
     links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))
     joined = components(found.select("a", "b"))
     of = classes.select("cls", "n", "least").join(links, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
