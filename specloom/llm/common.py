@@ -46,6 +46,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bounded(df: DataFrame, name: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` saved, and the same to join with: broadcast if it has ``most`` rows or fewer, else shuffled."""
+    saved = save(df, name)
+    return saved, F.broadcast(saved) if saved.count() <= most else saved
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes saved tables that no later plan reads, and lets Spark remove the shuffle files of plans that are done."""
     for df in tables:

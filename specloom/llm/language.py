@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specloom.llm.common import Memo, crc_mod, hash64, over_batches, small_batches
+from specloom.llm.common import Memo, bounded, crc_mod, hash64, over_batches, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -72,10 +72,13 @@ class Backoff:
 def train(docs: DataFrame, sample: int = 1_000, least: int = 2, seed: int = 11) -> Backoff:
     """Learns from documents with a ``lang`` whose crc32(doc_id as text) mod 4 is not 2, from ``sample`` of each language at most; words and n-grams seen less than ``least`` times are unknown."""
     fit = docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "lang").where("lang is not null and text is not null").where(crc_mod(F.col("doc_id"), 4) != 2)
-    ids = fit.select("doc_id", "lang", F.xxhash64("text").alias("h")).distinct()
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(hash64(seed, F.col("doc_id"), F.col("h")), "doc_id"))  # each task first drops what is beyond ``sample``
-    ids = ids.withColumn("r", rank).where(F.col("r") <= sample).select(F.col("doc_id").alias("picked"), F.col("lang").alias("l"), "h")
-    picked = fit.join(ids, F.col("doc_id").eqNullSafe(F.col("picked")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "lang", "text"])
+    _, sizes = bounded(fit.groupBy("lang").agg(F.count("*").alias("all")), "languages", 10_000)
+    chance = F.shiftrightunsigned(hash64(seed, F.col("doc_id"), F.col("h")), 11) / float(1 << 53)
+    ids = fit.select("doc_id", "lang", F.xxhash64("text").alias("h")).join(sizes, "lang").withColumn("o", chance)
+    ids = ids.where(F.col("o") * F.col("all") < 1.5 * sample + 50).select("doc_id", "lang", "h", "o").distinct()  # about half more than are taken, of any language
+    ids = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("r") <= sample)
+    _, few = bounded(ids.select(F.col("doc_id").alias("picked"), F.col("lang").alias("l"), "h"), "sample", 200_000)
+    picked = fit.join(few, F.col("doc_id").eqNullSafe(F.col("picked")) & (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "lang", "text"])
 
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
 
