@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import components, discard, free, mix64, over_batches, save, small_batches, text_of
+from specloom.llm.common import bounded, components, discard, free, mix64, over_batches, save, small_batches, text_of
 from specloom.llm.ngram import tokens
 from specloom.llm.rolling import powers
 
@@ -280,7 +280,8 @@ def sets_of(texts: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     def make():
         return lambda batch: {"node": batch.column("node"), "v": _lists(*shingle_sets(batch.column("text").to_pylist(), n_words)[:2])}
 
-    few = small_batches(texts).join(wanted, "row").select("node", "text").dropDuplicates(["node"])
+    _, rows = bounded(wanted, "wanted", 500_000)
+    few = small_batches(texts).join(rows, "row").select("node", "text").dropDuplicates(["node"])
     return save(few.mapInArrow(over_batches(make, schema), "node bigint, v array<bigint>"), "shingles")
 
 
