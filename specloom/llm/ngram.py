@@ -7,7 +7,9 @@ in ``hold``), which are left out of the estimates while the weights are learned
 
 All n-grams of all training texts are counted. Documents are dealt into chunks by hash; a chunk sends its distinct
 n-gram hashes (64 bits) with their counts, pre-aggregated, to buckets by hash range, and each bucket sends back the sums that a
-chunk asked for. So a frequent word is one number a chunk, no task holds more than a chunk or a bucket (both of a set size), and
+chunk asked for. Where there would be more than ``fan`` buckets or chunks, they meet in levels: a chunk sends to ``fan`` ranges at most, groups
+of chunks merge what they send to a range and split it further, and the sums come back the same way. So the messages grow as the
+input times the levels, a frequent word is one number a chunk, no task holds more than a chunk, a group's range or a bucket (all of a set size), and
 nothing but counts summed over all rows reaches the driver. The held-out statistic is a histogram of bucketed contexts and
 likelihood ratios on a logarithmic grid of 1/8 octave, of bounded size.
 
@@ -144,7 +146,53 @@ def learn(cells: list[tuple], order: int, rounds: int = 60) -> np.ndarray:
     return weights
 
 
-def score(docs: DataFrame, train: Column, order: int = 2, hold: int = 10, chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+ASKED, ANSWERED = "p bigint, g bigint, child bigint, keys binary, counts binary", "p bigint, child bigint, f int, n_keys bigint, total binary, fit binary"
+
+
+class Levels:
+    """How chunks and hash ranges meet: ``ranges`` ranges a level, ``group`` chunks or groups a group. A chunk's number and those of
+    its groups leave its role when divided by three."""
+
+    def __init__(self, n_chunks: int, n_buckets: int, fan: int):
+        self.depth = 1
+        while max(n_chunks, n_buckets) > fan**self.depth:
+            self.depth += 1
+        root = lambda n: next(x for x in range(max(1, int(n ** (1 / self.depth)) - 1), n + 2) if x**self.depth >= n)
+        self.ranges, self.group = root(n_buckets), max(2, root(n_chunks))
+
+    def cells(self, level: int, p: int, child: int, keys: np.ndarray, n: np.ndarray) -> pa.Table:
+        """What ``child`` sends from range p of ``level`` to the ranges of the next: sorted distinct keys, and their counts if it teaches."""
+        limits = np.array([((p * self.ranges + f) << 64) // self.ranges ** (level + 1) for f in range(1, self.ranges)], dtype=np.uint64)
+        cut = [0, *np.searchsorted(keys, limits).tolist(), len(keys)]
+        some = [f for f in range(self.ranges) if cut[f + 1] > cut[f]]
+        to = child // 3 // self.group * 3 + child % 3
+        return pa.table({
+            "p": pa.array([p * self.ranges + f for f in some], pa.int64()), "g": pa.array([to] * len(some), pa.int64()), "child": pa.array([child] * len(some), pa.int64()),
+            "keys": pa.array([keys[cut[f] : cut[f + 1]].tobytes() for f in some], pa.binary()),
+            "counts": pa.array([_pack(n[cut[f] : cut[f + 1]].astype(np.int64)) if child % 3 < 2 else b"" for f in some], pa.binary()),
+        })
+
+    def answers(self, p: list[int], children: list[int], total: list[np.ndarray], fit: list[np.ndarray | None]) -> dict:
+        """Replies from ranges p to the children that asked there, in their keys' order."""
+        return {"p": [x // self.ranges for x in p], "child": children, "f": [x % self.ranges for x in p], "n_keys": [len(x) for x in total], "total": [_pack(x) for x in total], "fit": [b"" if x is None else _pack(x) for x in fit]}
+
+
+def _gathered(table: pa.Table) -> tuple[list[int], list[np.ndarray], list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Of cells: the children, their keys and counts, all keys sorted and distinct, and each child's places among them."""
+    children = table.column("child").to_pylist()
+    asked = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    counts = [_unpack([(n, len(a))], "i8") if c % 3 < 2 else np.zeros(len(a), np.int64) for c, a, n in zip(children, asked, table.column("counts").to_pylist(), strict=True)]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    return children, asked, counts, keys, np.split(at, np.cumsum([len(x) for x in asked])[:-1])
+
+
+def _replied(table: pa.Table, which: str) -> np.ndarray:
+    """Replies from all ranges, in the order of the keys."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("f", which, "n_keys")), strict=True), key=lambda x: x[0])
+    return _unpack([(x, n) for _, x, n in rows], "i8")
+
+
+def score(docs: DataFrame, train: Column, order: int = 2, hold: int = 10, chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, fan: int = 512) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score); ``train`` says which documents teach.
 
     ``chunk_bytes`` and ``bucket_bytes`` are the text sizes that set the numbers of chunks and buckets.
@@ -152,56 +200,66 @@ def score(docs: DataFrame, train: Column, order: int = 2, hold: int = 10, chunk_
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = known.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("train"), 1))).first()
     n_chunks, n_buckets = max(8, ceil((size[0] or 0) / chunk_bytes)), max(8, ceil((size[0] or 0) / bucket_bytes))
+    levels = Levels(n_chunks, n_buckets, fan)
     dev = F.pmod(hash64(5, F.coalesce("doc_id", F.lit(0))), F.lit(hold)) == 0
     role = F.when(~F.col("train"), 2).when(dev, 1).otherwise(0)  # 0 counts, 1 held out for the weights, 2 is not learned from
     parts = F.greatest(F.lit(1), F.when(F.col("role") == 1, n_chunks // hold).otherwise(n_chunks))
-    dealt = known.withColumn("role", role).select("doc_id", "text", (F.pmod(hash64(6, "doc_id", "text"), parts) * 3 + F.col("role")).cast("int").alias("chunk"))
-    limits = np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], dtype=np.uint64)
+    dealt = known.withColumn("role", role).select("doc_id", "text", (F.pmod(hash64(6, "doc_id", "text"), parts) * 3 + F.col("role")).cast("bigint").alias("chunk"))
 
     def ask(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
         h, counts = tokens(_texts(table))
         keys, n = np.unique(np.concatenate(grams(h, counts, order)), return_counts=True)
-        cut = [0, *np.searchsorted(keys, limits).tolist(), len(keys)]
-        some = [b for b in range(n_buckets) if cut[b + 1] > cut[b]]
-        return pa.table({
-            "bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int32()),
-            "keys": pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-            "counts": pa.array([_pack(n[cut[b] : cut[b + 1]].astype(np.int64)) if chunk % 3 < 2 else b"" for b in some], pa.binary()),
-        })
+        return levels.cells(0, 0, table.column("chunk")[0].as_py(), keys, n)
+
+    def merge(level: int):
+        def run(table: pa.Table) -> pa.Table:
+            _, _, counts, keys, at = _gathered(table)
+            sums = np.zeros(len(keys), np.int64)
+            for a, n in zip(at, counts, strict=True):
+                sums[a] += n  # a child asks for a key once
+            return levels.cells(level, table.column("p")[0].as_py(), table.column("g")[0].as_py(), keys, sums)
+
+        return run
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        chunks, counts = table.column("chunk").to_pylist(), table.column("counts").to_pylist()
-        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        children, _, counts, keys, ats = _gathered(table)
         sums = np.zeros((2, len(keys)), np.int64)
-        ends = np.cumsum([len(x) for x in asked])
-        ats = np.split(at, ends[:-1])
-        for chunk, a, n in zip(chunks, ats, counts, strict=True):
-            if chunk % 3 < 2:
-                sums[chunk % 3, a] += _unpack([(n, len(a))], "i8")  # a chunk asks for a key once
+        for child, a, n in zip(children, ats, counts, strict=True):
+            if child % 3 < 2:
+                sums[child % 3, a] += n
         total = sums.sum(axis=0)
         word = (keys & np.uint64(1)) == 0
-        rows = {
-            "chunk": [-1, *chunks], "bucket": table.column("bucket").to_pylist()[:1] * (len(chunks) + 1), "n_keys": [0, *map(len, ats)],
-            "total": [b"", *(_pack(total[a]) for a in ats)], "fit": [b"", *(_pack(sums[0][a]) if c % 3 == 1 else b"" for c, a in zip(chunks, ats, strict=True))],
-            "n": [int(total[word].sum()), *[0] * len(chunks)], "v": [int((total[word] > 0).sum()), *[0] * len(chunks)],
-            "n_fit": [int(sums[0][word].sum()), *[0] * len(chunks)], "v_fit": [int((sums[0][word] > 0).sum()), *[0] * len(chunks)],
-        }
-        return pa.table({k: pa.array(v, pa.binary() if k in ("total", "fit") else pa.int64()) for k, v in rows.items()})
-
-    asks = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary, counts binary")
-    replies = save(asks.groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, n_keys bigint, total binary, fit binary, n bigint, v bigint, n_fit bigint, v_fit bigint"), "counts")
+        p = table.column("p").to_pylist()
+        rows = levels.answers(p, children, [total[a] for a in ats], [sums[0][a] if c % 3 == 1 else None for c, a in zip(children, ats, strict=True)])
+        rows = {k: [*v, x] for (k, v), x in zip(rows.items(), (-1, -1, -1, 0, b"", b""), strict=True)}  # and a row for the bucket itself
+        own = {"n": int(total[word].sum()), "v": int((total[word] > 0).sum()), "n_fit": int(sums[0][word].sum()), "v_fit": int((sums[0][word] > 0).sum())}
+        rows |= {k: [*[0] * len(children), x] for k, x in own.items()}
+        return pa.table({k: pa.array(v, {"total": pa.binary(), "fit": pa.binary(), "f": pa.int32()}.get(k, pa.int64())) for k, v in rows.items()})
+
+    def pass_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        children, _, _, _, ats = _gathered(left)
+        total = _replied(right, "total")
+        fit = _replied(right, "fit") if children[0] % 3 == 1 else None
+        rows = levels.answers(left.column("p").to_pylist(), children, [total[a] for a in ats], [None if fit is None else fit[a] for a in ats])
+        return pa.table({k: pa.array(v, {"total": pa.binary(), "fit": pa.binary(), "f": pa.int32()}.get(k, pa.int64())) for k, v in rows.items()})
+
+    asks = [dealt.groupBy("chunk").applyInArrow(ask, ASKED)]
+    for level in range(1, levels.depth):
+        asks[-1] = save(asks[-1], "asked")  # read again on the way back
+        asks.append(asks[-1].groupBy("p", "g").applyInArrow(merge(level), ASKED))
+    replies = save(asks[-1].groupBy("p").applyInArrow(answer, ANSWERED + ", n bigint, v bigint, n_fit bigint, v_fit bigint"), "counts")
     sums = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_fit", "v_fit"))).first()
     fit_docs = known.where(F.col("train") & ~dev).count()
-    replies = replies.where("chunk >= 0").select(F.col("chunk").cast("int").alias("chunk"), "bucket", "n_keys", "total", "fit")
+    replies = replies.where("child >= 0").select("p", "child", "f", "n_keys", "total", "fit")
+    for asked in asks[-2::-1]:
+        replies = save(asked.groupBy("p", "g").cogroup(replies.withColumnRenamed("child", "g").groupBy("p", "g")).applyInArrow(pass_on, ANSWERED), "counts")
+    replies = replies.withColumnRenamed("child", "chunk")
 
     def counted(left: pa.Table, right: pa.Table, which: str) -> tuple[list[np.ndarray], np.ndarray]:
         h, counts = tokens(_texts(left))
         keys = grams(h, counts, order)
         at = np.unique(np.concatenate(keys), return_inverse=True)[1]
-        parts = sorted(zip(right.column("bucket").to_pylist(), right.column(which).to_pylist(), right.column("n_keys").to_pylist(), strict=True), key=lambda x: x[0])
-        found = _unpack([(x, n) for _, x, n in parts], "i8")[at]
+        found = _replied(right, which)[at]
         return [x.astype(float) for x in np.split(found, order)] if len(found) else [np.zeros(0)] * order, counts
 
     draft = Model(order, sums["n_fit"], sums["v_fit"], fit_docs, np.zeros((0, 0)))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from compare import duck, spark_rows
+from pyspark.sql import functions as F
 
 from specloom.llm import lattice, mixing, pieces, pii, queries, simhash, toxicity
 
@@ -227,3 +228,43 @@ def test_long_words_and_ties(spark):
     assert pieces.encode_documents(df, digests_only=True).count() == 5
     assert toxicity.scores(df, toxicity.train(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))).count() == 5
     assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {1, 2, 3}
+
+
+def test_lm_by_levels(spark):
+    """Chunks and ranges that meet in several levels give the scores that one level gives."""
+    from specloom.llm import ngram
+    from specloom.llm.common import crc_mod
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = (ngram.score(docs, crc_mod(docs["doc_id"], 5) != 1, chunk_bytes=c, bucket_bytes=b, fan=f).toPandas().sort_values("doc_id").reset_index(drop=True) for c, b, f in ((8 << 20, 16 << 20, 512), (16 << 10, 24 << 10, 3)))
+    assert ngram.Levels(30, 20, 3).depth == 4
+    assert (one[["doc_id", "n_tokens", "n_known", "train_tokens"]] == many[["doc_id", "n_tokens", "n_known", "train_tokens"]]).all().all()
+    assert np.allclose(one.base_score, many.base_score) and np.allclose(one.score, many.score)
+
+
+def test_lm_score_by_brute_force(spark):
+    """The score of a whole text, with the counts taken in plain Python and the weights that the model learned from them."""
+    from specloom.llm import ngram
+
+    texts = ["a b a b c", "b a b", "c c a b", "a", "", "d a b c", "a b c a", "zz a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram.score(df, F.col("doc_id") < 6).toPandas().set_index("doc_id")
+    learned = []
+    keep = ngram.learn
+    ngram.learn = lambda cells, order, **k: learned.append(keep(cells, order, **k)) or learned[-1]
+    try:
+        ngram.score(df, F.col("doc_id") < 6).collect()
+    finally:
+        ngram.learn = keep
+    tokens = [[*t.split(), "</s>"] for t in texts]
+    one = collections.Counter(w for t in tokens[:6] for w in t)
+    two = collections.Counter(x for t in tokens[:6] for x in zip(["<s>", *t[:-1]], t, strict=True))
+    n, v = sum(one.values()), len(one)
+    for i, t in enumerate(tokens):
+        score = 0.0
+        for before, w in zip(["<s>", *t[:-1]], t, strict=True):
+            context = 6 if before == "<s>" else one[before]
+            weights = learned[0][min(int(np.frexp(float(context))[1]), ngram.CONTEXT_BUCKETS - 1)]
+            p = weights[0] * (one[w] + 0.5) / (n + 0.5 * (v + 1)) + weights[1] * one[w] / n + weights[2] * (two[before, w] / context if context else 0)
+            score += np.log10(p)
+        assert got.score[i] == pytest.approx(score)
