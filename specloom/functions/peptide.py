@@ -53,8 +53,8 @@ def neutral_mass(masses: Column) -> Column:
 
 
 def running(masses: Column) -> Column:
-    """array<double>: the sums of the first 0, 1, 2, ... masses."""
-    return F.aggregate(masses, F.array(F.lit(0.0)), lambda a, m: F.concat(a, F.array(F.element_at(a, -1) + m)))
+    """array<double>: the sums of the first 0, 1, 2, ... masses; NaN from an unknown mass on."""
+    return F.aggregate(masses, F.array(F.lit(0.0)), lambda a, m: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(m, F.lit(float("nan"))))))
 
 
 def mz(mass: Column, charge: Column) -> Column:

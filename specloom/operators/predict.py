@@ -48,7 +48,7 @@ def mock(precursors: DataFrame, fragment_types: str = "b,y", fragment_charges: s
         return F.transform(F.sequence(F.lit(1), last), lambda k: F.transform(charges, lambda z: made(ion, k, z)))
 
     found = F.flatten(F.concat(*[series(ion) for ion in ions]))
-    found = F.filter(found, lambda f: f["ProductMz"].isNotNull() & fitting(lambda c: f[c], **(limits or {})))
+    found = F.filter(found, lambda f: f["ProductMz"].isNotNull() & ~F.isnan(f["ProductMz"]) & fitting(lambda c: f[c], **(limits or {})))
     if top_n is not None:
         found = F.slice(F.array_sort(found), 1, positive("top_n", top_n))
     extra = [c for c in precursors.columns if c not in (*LIBRARY_COLUMNS, "StrippedPeptide", "PredictionBackend")]

@@ -176,3 +176,140 @@ def test_commands(spark, tmp_path, capsys):
     query = predict_stream(spark, f"{d}/prec.parquet", f"{d}/stream", f"{d}/ckpt", top_n=3)
     query.awaitTermination()
     assert spark.read.parquet(f"{d}/stream").count() == lib.count()
+
+
+PRECURSORS = "ModifiedPeptide string, StrippedPeptide string, PrecursorCharge int, PrecursorMz double, ProteinId string, Note string"
+
+
+def asked(spark):
+    rows = [(p, p, z, 400.0 + z, f"P{z}", f"{p}{z}") for p in ("PEPTIDEK", "ACDEK", "LLLLK") for z in (2, 3)]
+    return spark.createDataFrame(rows, PRECURSORS).repartition(3)
+
+
+@pytest.mark.parametrize("layout", ["key", "position", "position from one", "array", "probed", "library"])
+def test_answers_reach_their_precursor(spark, layout):
+    def client():
+        def call(frame):
+            assert list(frame.columns) == ["peptide_sequences", "precursor_charges", "collision_energies"]
+            n = len(frame)
+            many = frame.precursor_charges * 10.0 + frame.peptide_sequences.str.len()
+            if layout in ("array", "probed"):
+                return {"intensities": [[v, v + 0.5] for v in many], "annotation": [["y2", b"b1"] if layout == "x" else ["y2", "b1"]] * n}
+            if layout == "library":
+                return pd.DataFrame({"ModifiedPeptide": frame.peptide_sequences, "PrecursorCharge": frame.precursor_charges, "PrecursorMz": 400.0, "ProductMz": 100.0, "LibraryIntensity": many, "FragmentType": "y", "FragmentSeriesNumber": 2, "FragmentCharge": 1})
+            long = pd.DataFrame({"intensity": [*many, *(many + 0.5)], "ion": ["y2"] * n + ["b1"] * n})
+            if layout == "key":
+                return long.assign(sequence=[*frame.peptide_sequences] * 2, charge=[*frame.precursor_charges.astype(float)] * 2).sample(frac=1, random_state=1)
+            at = [*range(n)] * 2
+            return long.assign(input_index=[x + 1 for x in at] if layout.endswith("one") and n == 1 else at)
+
+        return call
+
+    schema = {"array": "intensities array<double>, annotation array<string>", "probed": None, "key": "intensity double, ion string, sequence string, charge double", "library": "ModifiedPeptide string, PrecursorCharge int, PrecursorMz double, ProductMz double, LibraryIntensity double, FragmentType string, FragmentSeriesNumber int, FragmentCharge int"}.get(layout, "intensity double, ion string, input_index long")
+    size = 1 if layout.endswith("one") else 2
+    rows = predict.ModelPredictor(client, schema, "m", batch_size=size).predict(asked(spark)).collect()
+    want = {(r["ModifiedPeptide"], r["PrecursorCharge"]): r["PrecursorCharge"] * 10.0 + len(r["ModifiedPeptide"]) for r in asked(spark).collect()}
+    assert len(rows) == len(want) * (1 if layout == "library" else 2)
+    for r in rows:
+        assert r["LibraryIntensity"] == want[r["ModifiedPeptide"], r["PrecursorCharge"]] + (0.5 if r["FragmentType"] == "b" else 0)
+        assert layout == "library" or r["Note"] == f"{r['ModifiedPeptide']}{r['PrecursorCharge']}"
+
+
+def test_answers_that_fit_nobody(spark):
+    def answering(**columns):
+        return lambda: lambda frame: pd.DataFrame(columns)
+
+    for columns, schema in (
+        ({"annotation": ["y1"], "intensities": [1.0], "sequence": ["XXX"], "charge": [2]}, "annotation string, intensities double, sequence string, charge int"),
+        ({"annotation": ["y1"], "intensities": [1.0], "input_index": [99]}, "annotation string, intensities double, input_index int"),
+        ({"annotation": ["y1"], "intensities": [1.0]}, "annotation string, intensities double"),
+        ({"annotation": [["y1"]] * 99, "intensities": [[1.0]] * 99}, "annotation array<string>, intensities array<double>"),
+    ):
+        with pytest.raises(Exception, match="precursor|position|sequence and charge"):
+            predict.ModelPredictor(answering(**columns), schema, "m").predict(asked(spark)).collect()
+    with pytest.raises(Exception, match="several precursors"):
+        predict.ModelPredictor(answering(annotation=["y1"], intensities=[1.0], sequence=["ACDEK"], charge=[2]), "annotation string, intensities double, sequence string, charge int", "m").predict(asked(spark).union(asked(spark)).coalesce(1)).collect()
+    with pytest.raises(ValueError, match="annotation"):
+        predict.ModelPredictor(answering(), "intensities double", "m").predict(asked(spark))
+    with pytest.raises(ValueError, match="server_url"):
+        predict.get_predictor("koina", model="m")
+    with pytest.raises(DataError, match="notation"):
+        predict.check_plain_sequences(asked(spark).withColumn("ModifiedPeptide", F.lit("AC(UniMod:4)K")), "modified")
+    with pytest.raises(Exception, match="koinapy"):
+        predict.get_predictor("koina", model="m", server_url="localhost:1", schema="intensities array<double>, annotation array<string>").predict(asked(spark)).collect()
+
+
+def test_mock_cut_in_the_row_is_the_cut_of_all(spark):
+    rows = asked(spark).withColumn("OxidationMPositions", F.lit("")).union(asked(spark).withColumn("OxidationMPositions", F.lit("")).limit(2))
+    limits = {"min_fragment_series": 2, "fragment_types": "b,y", "max_product_mz": 600.0}
+    every = select.top_n(filters.filter_transitions(predict.mock(rows, fragment_charges="1,2"), **limits), 4)
+    cut = commands.predicted(rows, top_n=4, include_metadata=True, fragment_charges="1,2", **limits)
+    assert sorted(map(str, every.select(cut.columns).collect())) == sorted(map(str, cut.collect()))
+    odd = asked(spark).withColumn("StrippedPeptide", F.lit("AXK"))
+    assert {(r["FragmentType"], r["FragmentSeriesNumber"]) for r in predict.mock(odd).collect()} == {("b", 1), ("y", 1)}
+
+
+def test_retention_times_of_models(spark):
+    rows = asked(spark).withColumns({"seq": F.lit("mine"), "modifications": F.lit("too")})
+    known = spark.createDataFrame([("ACDEK", "ACDEK", "7,5"), ("LLLLK", "LLLLK", None)], "ModifiedPeptide string, StrippedPeptide string, t string")
+
+    def model(calibration):
+        assert calibration is None or calibration.values.tolist() == [["ACDEK", "2|Carbamidomethyl", 7.5]]
+        off = 0.0 if calibration is None else calibration.tr.iloc[0]
+        return lambda frame: pd.DataFrame({"other": 0, "rt": frame.seq.str.len() + off})
+
+    for table, off in ((None, 0.0), (known, 7.5)):
+        out = predict.predict_rt(rows, "deeplc", model=model, calibration=table, calibration_rt_column="t")
+        assert out.columns == [*rows.columns, "NormalizedRetentionTime"]
+        assert all(r["NormalizedRetentionTime"] == len(r["StrippedPeptide"]) + off and r["seq"] == "mine" and r["modifications"] == "too" for r in out.collect())
+    with pytest.raises(ValueError, match="more than 0"):
+        predict.predict_rt(rows, "deeplc", model=model, calibration=known, calibration_rt_column="t", most_calibration=0)
+    with pytest.raises(Exception, match="deeplc"):
+        predict.predict_rt(rows, "deeplc").collect()
+
+
+def test_reversal_in_one_exchange(spark):
+    rows = toy(spark).withColumn("LibraryIntensity", F.when(F.col("FragmentSeriesNumber") == 2, None).otherwise(F.col("LibraryIntensity")))
+    out = controls.reverse_intensity(rows, ["ProductMz"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    by = {r["FragmentSeriesNumber"]: r["LibraryIntensity"] for r in out.where("ModifiedPeptide = 'ACDEK'").collect()}
+    assert by == {5: None, 4: 90.0, 3: 70.0, 1: 60.0, 2: 50.0} and {r["ExtraColumn"] for r in out.collect()} == {"x"}
+
+
+def test_overlap_of_unlike_libraries(spark):
+    a, b = toy(spark), toy(spark).where("ModifiedPeptide = 'ACDEK'").union(toy(spark).withColumn("ModifiedPeptide", F.lit("NEWK")).limit(3))
+    row = combine.input_stats(a, b).first()
+    assert (row["n_common_precursors"], row["n_a_only_precursors"], row["n_b_only_precursors"], row["n_transitions_input_b"]) == (1, 1, 1, 8)
+
+
+def test_chunks_build_and_sidecars(spark, tmp_path):
+    d = str(tmp_path)
+    (tmp_path / "p.fasta").write_text(">sp|P1|ONE x\nMPEPTIDEKACDEUPPKLLLLPEPTIDEK\n>sp|P2|TWO y\nAAAACDEKPEPTIDERGGGGGGGGK\n")
+    made = commands.digest_fasta(spark, f"{d}/p.fasta", f"{d}/prec.parquet", preset="Generic-DIA", allow_selenocysteine=True, variable_oxidation_m=True)
+    assert made["n_unique_selenocysteine_peptides"] > 0 and made["n_oxidized_modified_peptides"] > 0 and made["n_selenocysteine_precursors_output"] > 0 and made["enzyme"] == "trypsin-p"
+    keys = [tuple(r) for r in tables.read_table(spark, f"{d}/prec.parquet").select("ModifiedPeptide", "PrecursorCharge").collect()]
+    assert keys == sorted(keys)
+
+    def client():
+        return lambda frame: pd.DataFrame({"intensities": [[5.0, 4.0, 3.0]] * len(frame), "annotation": [["y3", "b2", "y3"]] * len(frame)})
+
+    tables.write_table(tables.read_table(spark, f"{d}/prec.parquet").where("NVariableMods = 0").drop("VariableOxidationM", "OxidationMPositions", "NVariableMods"), f"{d}/plain.parquet")
+    options = {"chunk_size": 5, "top_n": 2, "backend": "koina", "drop_unsupported_aa": True, "model": {"client": client, "schema": "intensities array<double>, annotation array<string>", "model": "m"}}
+    first = commands.predict_chunked(spark, f"{d}/plain.parquet", f"{d}/all.parquet", **options)
+    rows = tables.read_table(spark, f"{d}/plain.parquet")
+    n, odd = rows.count(), rows.where(filters.unsupported(rows)).count()
+    assert (first["n_precursors_input"], first["n_precursors_with_unsupported_aa_input"], first["n_precursors_dropped_unsupported_aa"], first["n_precursors_predicted_input"]) == (n, odd, odd, n - odd) and odd
+    assert (first["n_transitions_predicted_raw"], first["n_duplicate_transitions_removed"], first["n_transitions_output"]) == (3 * (n - odd), n - odd, 2 * (n - odd))
+    assert {*commands.ROLLED_UP} <= {*first} and first["n_chunks"] == -(-n // 5)
+    marker = json.loads((tmp_path / "all.chunked_work" / "chunks_manifest.json").read_text())["chunks"][0]
+    assert json.loads(open(marker["done_marker"]).read())["output"] == marker["predicted_chunk_file"] and marker["completed"]
+    found = tables.read_table(spark, f"{d}/all.parquet").select("ModifiedPeptide", "PrecursorCharge", F.col("LibraryIntensity") * -1).collect()
+    assert [tuple(r) for r in found] == sorted(tuple(r) for r in found)
+    (tmp_path / "odd.tsv").write_text(" a \tb\n1\t2\n")
+    assert tables.read_table(spark, f"{d}/odd.tsv").columns == ["a", "b"]
+    out = commands.build(spark, f"{d}/p.fasta", f"{d}/built", top_n=3, chunk_size=7, digest_options={"charges": "2"}, resume=True)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "built" / "library.build_work").rglob("_SUCCESS")}
+    assert commands.build(spark, f"{d}/p.fasta", f"{d}/built", top_n=3, chunk_size=7, digest_options={"charges": "2"}, resume=True) == out
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "built" / "library.build_work").rglob("_SUCCESS")} and before
+    assert json.loads((tmp_path / "built" / "library.build.json").read_text())["charges"] == "2"
+    assert {r[0] for r in tables.read_table(spark, out["union"]).select("PrecursorCharge").distinct().collect()} == {2}
