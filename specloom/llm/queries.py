@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from specloom.llm import checks
 from specloom.llm.iblt import op2_iblt
 from specloom.llm.language import op3_language
 from specloom.llm.lattice import NEAR_PAIRS_SQL, lattice_near_pairs, op9_lattice
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_bootstrap": op10_bootstrap,
     "mixing_overlap": mixing_overlap,
     "lattice_near_pairs": lattice_near_pairs,
+    **checks.QUERIES,
 }
 
-ORACLE_SQL = {"op9_lattice": LATTICE_SQL, "lattice_near_pairs": NEAR_PAIRS_SQL}
+ORACLE_SQL = {"op9_lattice": LATTICE_SQL, "lattice_near_pairs": NEAR_PAIRS_SQL, **checks.ORACLE_SQL}
