@@ -88,7 +88,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7, probes: int = 3, scale: float = 6.0, block: int = 2048, seed: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7, probes: int = 3, scale: float = 6.0, block: int = 8192, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -150,11 +150,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 7
             row_of = {i: k for k, i in enumerate(used.tolist())}
             q_at, d_at = np.array([row_of[i] for i in g.tolist()]), np.array([row_of[i] for i in stored.tolist()])
             sure_q, sure_d = [], []
-            for i in range(0, len(q_at), block):
-                hit = unit[q_at[i : i + block]] @ unit[d_at].T >= threshold
-                hit &= cls[used[q_at[i : i + block]]][:, None] != cls[used[d_at]][None, :]
+            for i in range(0, len(q_at), 512):
+                hit = unit[q_at[i : i + 512]] @ unit[d_at].T >= threshold
+                hit &= cls[used[q_at[i : i + 512]]][:, None] != cls[used[d_at]][None, :]
                 x, y = np.nonzero(hit)
-                sure_q.append(q_at[i : i + block][x])
+                sure_q.append(q_at[i : i + 512][x])
                 sure_d.append(d_at[y])
             q, d = np.concatenate(sure_q), np.concatenate(sure_d)
             if not len(q):

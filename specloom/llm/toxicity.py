@@ -4,7 +4,8 @@ Features of a whole text: densities of a seed lexicon and of a lexicon of words
 proximity to second-person words, capitals, punctuation, and rates of obfuscated lexicon words (digits or symbols
 in place of letters, letters set apart by symbols). The trees (logistic loss, 32 bins a feature) are fitted on the
 driver to the features of a bounded sample of labelled documents (``sample`` rows, those of least seeded hash);
-one part of it gives the lexicon, one the trees, one the isotonic calibration.
+one part of it gives the lexicon, one the trees, one the isotonic calibration. The learned lexicon holds the ``most_words`` entries of the
+strongest evidence: with many labels thousands pass z >= 3 by chance alone (of the 20,598 labels of 0.1 GB, 2,234 entries), with few labels all that pass stay (83 on sf0.1).
 
 Null, empty and wordless texts: all features zero, scored like any other. Null labels and labels of unknown
 documents teach nothing; a document labelled more than once teaches once a distinct label; of texts that share a labelled doc_id the one of least hash teaches. Without a label of
