@@ -269,3 +269,54 @@ def test_lm_score_by_brute_force(spark):
             p = weights[0] * (one[w] + 0.5) / (n + 0.5 * (v + 1)) + weights[1] * one[w] / n + weights[2] * (two[before, w] / context if context else 0)
             score += np.log10(p)
         assert got.score[i] == pytest.approx(score)
+
+
+def test_pipeline_by_stage(spark):
+    """Each stage's rows from its own input, worked out in plain Python."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tables = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        tables.append(stage(spark, tables[-1], SF).cache())
+    rows = [[r.asDict() for r in t.collect()] for t in tables]
+    assert all(t.columns == docs.columns for t in tables[:5])
+    # toxicity: what the scores reject, and nothing else
+    bad = {r["doc_id"] for r in toxicity.scores(docs, toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))).where("score >= 0.3").collect()}
+    assert sorted(r["doc_id"] for r in rows[1]) == sorted(r["doc_id"] for r in rows[0] if r["doc_id"] not in bad)
+    # near copies: the least of each component of all pairs
+    sets = {r["doc_id"]: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words_of(r["text"] or "")) else {()} for r in rows[1]}
+    label = {i: i for i in sets}
+    changed = True
+    pairs = [(i, j) for i, j in itertools.combinations(sorted(sets), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            least = min(label[i], label[j])
+            changed |= label[i] != least or label[j] != least
+            label[i] = label[j] = least
+    assert sorted(r["doc_id"] for r in rows[2]) == sorted({*label.values()})
+    # personal data: base spans and what the method added, replaced from the left
+    added = {r["doc_id"]: [(z["s"], z["k"], z["e"]) for z in r["added"]] for r in pii.spans(tables[2]).collect()}
+    masked = {r["doc_id"]: r for r in rows[3]}
+    for r in rows[2]:
+        text, out, at = r["text"], "", 0
+        for s, k, e in sorted({*base_of(text), *added[r["doc_id"]]}):
+            if s >= at:
+                out, at = out + text[at:s] + f"[{pii.ALL_KINDS[k].upper()}]", e
+        assert masked[r["doc_id"]]["text"] == out + text[at:] and masked[r["doc_id"]]["n_chars"] == len(out + text[at:])
+    # mixing: each source near its target, no document more than twice
+    size = {r["doc_id"]: len(words_of(r["text"])) for r in rows[3]}
+    source = {r["doc_id"]: r["source"] for r in rows[3]}
+    names = sorted({*source.values()})
+    target = mixing.targets([sum(size[i] for i in size if source[i] == s) for s in names])
+    times = collections.Counter(r["doc_id"] for r in rows[4])
+    assert max(times.values()) <= 2
+    for s, t in zip(names, target, strict=True):
+        assert abs(sum(size[i] * times[i] for i in size if source[i] == s) - t) <= max(size[i] for i in size if source[i] == s)
+    # pieces
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    want = collections.Counter((i, tuple(lib.encode(masked[i]["text"], add_eos=True))) for i in times.elements())
+    assert want == collections.Counter((r["doc_id"], tuple(r["ids"])) for r in rows[5])
