@@ -52,16 +52,21 @@ def bounded(df: DataFrame, name: str, most: int) -> tuple[DataFrame, DataFrame]:
     return saved, F.broadcast(saved) if saved.count() <= most else saved
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are done, which it does when the driver's JVM has collected them."""
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes saved tables that no later plan reads, and lets Spark remove the shuffle files of plans that are done."""
+    """Deletes saved tables that no later plan reads, and the shuffle files of plans that are done."""
     for df in tables:
         folder, fs = _folder(df.sparkSession, df._specloom_path.rpartition("/")[0])
         fs.delete(folder, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        sweep(tables[0].sparkSession)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 250) -> DataFrame:
     """Bounds the session's Arrow batches: whole texts in the default 10,000 rows take much memory outside the heap."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(name, "10000"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import bounded, components, discard, free, mix64, over_batches, save, small_batches, text_of
+from specloom.llm.common import bounded, components, discard, free, mix64, over_batches, save, small_batches, sweep, text_of
 from specloom.llm.ngram import tokens
 from specloom.llm.rolling import powers
 
@@ -290,7 +290,7 @@ def prefix_sizes(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1, 0)
 
 
-def prefixes(texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, most: int = 1_000_000) -> DataFrame:
+def prefixes(texts: DataFrame, marked: DataFrame, n_words: int, similarity: float, most: int = 400_000) -> DataFrame:
     """(node, n, prefix) of every text: n the size of its set, prefix its first shingles, in the order of how often they are seen in a part of
     the classes (the ``most`` commonest only), then of their hashes."""
     part = marked.where("size(some) > 0").dropDuplicates(["node"])
@@ -344,6 +344,7 @@ def meetings(firsts: DataFrame) -> DataFrame:
     The shingles are counted first (pre-aggregated, so a common one is a row a task), then their rows are fetched.
     """
     several = save(firsts.select("node", F.explode("prefix").alias("x")).groupBy("x").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("x"), "several")
+    sweep(firsts.sparkSession)
     rows = firsts.select("node", "n", F.posexplode("prefix").alias("i", "x")).selectExpr("x", "node", "shiftleft(cast(n as bigint), 32) + i as ni")
     rows = rows.join(several, "x", "left_semi").dropDuplicates(["x", "node"])
     rows = save(rows.selectExpr("x", "node", "cast(shiftright(ni, 32) as int) n", "cast(ni & 4294967295L as int) i"), "meetings")
@@ -412,7 +413,8 @@ def keep_one(docs: DataFrame, n_words: int = 5, distance: int = 2, hot: int = 64
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
     texts = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_of(keyed).alias("text"))
     marked = save(classes(texts, n_words), "classes")
-    found = groups(marked, texts.select("row", "text"), n_words, distance, hot, similarity)
+    found = save(groups(marked, texts.select("row", "text"), n_words, distance, hot, similarity), "groups")
+    sweep(docs.sparkSession)
     best = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"))
     best = best.join(found, "node", "left").groupBy(F.coalesce("label", "node").alias("g")).agg(F.min("m").alias("m"))
     return keyed.join(best.select(F.col("m.row").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
