@@ -52,9 +52,9 @@ def neutral_mass(masses: Column) -> Column:
     return F.aggregate(masses, F.lit(WATER), lambda a, m: a + m)
 
 
-def running(masses: Column) -> Column:
-    """array<double>: the sums of the first 0, 1, 2, ... masses; NaN from an unknown mass on."""
-    return F.aggregate(masses, F.array(F.lit(0.0)), lambda a, m: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(m, F.lit(float("nan"))))))
+def running(masses: Column, start: float = 0.0) -> Column:
+    """array<double>: ``start`` and the first 0, 1, 2, ... masses; NaN from an unknown mass on."""
+    return F.aggregate(masses, F.array(F.lit(start)), lambda a, m: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(m, F.lit(float("nan"))))))
 
 
 def mz(mass: Column, charge: Column) -> Column:

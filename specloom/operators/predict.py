@@ -36,10 +36,10 @@ def mock(precursors: DataFrame, fragment_types: str = "b,y", fragment_charges: s
     fixed = F.coalesce(F.col("FixedCarbamidomethylC").cast("boolean"), F.lit(True)) if "FixedCarbamidomethylC" in precursors.columns else F.lit(True)
     ox = P.parse_positions(F.col("OxidationMPositions").cast("string")) if "OxidationMPositions" in precursors.columns else F.array().cast("array<int>")
     rows = precursors.where((n >= 2) & (last >= 1)).withColumn("_specloom_m", P.residue_masses(seq, fixed, ox))
-    rows = rows.withColumns({"_specloom_b": P.running(F.col("_specloom_m")), "_specloom_y": P.running(F.reverse("_specloom_m"))})
+    rows = rows.withColumns({"_specloom_b": P.running(F.col("_specloom_m")), "_specloom_y": P.running(F.reverse("_specloom_m"), P.WATER)})
 
     def made(ion: str, number: Column, z: Column) -> Column:
-        sums = {"b": F.col("_specloom_b"), "y": F.transform("_specloom_y", lambda m: m + P.WATER)}.get(ion)
+        sums = {"b": F.col("_specloom_b"), "y": F.col("_specloom_y")}.get(ion)
         mz = P.mz(F.get(sums, number), z) if sums is not None else F.lit(None).cast("double")
         value = MOCK_SCALE * (MOCK_WEIGHT.get(ion, MOCK_WEIGHT["b"]) * (number / F.greatest(F.lit(1), n - 1)) * (F.lit(1.0) / z) + MOCK_NOISE * P.noise(F.col("ModifiedPeptide"), F.col("PrecursorCharge"), F.lit(ion), number, z))
         return F.struct((-value).alias("less"), F.lit(ion).alias("FragmentType"), number.alias("FragmentSeriesNumber"), z.alias("FragmentCharge"), mz.alias("ProductMz"))
@@ -50,7 +50,7 @@ def mock(precursors: DataFrame, fragment_types: str = "b,y", fragment_charges: s
     found = F.flatten(F.concat(*[series(ion) for ion in ions]))
     found = F.filter(found, lambda f: f["ProductMz"].isNotNull() & ~F.isnan(f["ProductMz"]) & fitting(lambda c: f[c], **(limits or {})))
     if top_n is not None:
-        found = F.slice(F.array_sort(found), 1, positive("top_n", top_n))
+        found = F.slice(F.sort_array(found), 1, positive("top_n", top_n))
     extra = [c for c in precursors.columns if c not in (*LIBRARY_COLUMNS, "StrippedPeptide", "PredictionBackend")]
     rows = rows.select("ModifiedPeptide", "StrippedPeptide", "PrecursorCharge", "PrecursorMz", *extra, F.inline(found))
     return rows.select("ModifiedPeptide", "StrippedPeptide", "PrecursorCharge", "PrecursorMz", "ProductMz", (-F.col("less")).alias("LibraryIntensity"), "FragmentType", "FragmentSeriesNumber", "FragmentCharge", *extra, F.lit("mock").alias("PredictionBackend"))
