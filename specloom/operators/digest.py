@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ def oxidation_sets(sequence: Column, enabled: bool = False, most: int = 1) -> Co
     return every
 
 
-def precursors(found: DataFrame, charges: str = "2,3,4", carbamidomethyl_c: bool = True, c_mod_format: str = "unimod", variable_oxidation_m: bool = False, max_variable_mods: int = 1, m_mod_format: str = "unimod", charge_length_rules: str | None = "", min_precursor_mz: float | None = None, max_precursor_mz: float | None = None, filtered: bool = True) -> DataFrame:
-    """Peptides by modification and charge, with m/z. ``filtered`` off keeps what rules and limits drop, with the reason in ``_specloom_drop``."""
+def precursors(found: DataFrame, charges: str = "2,3,4", carbamidomethyl_c: bool = True, c_mod_format: str = "unimod", variable_oxidation_m: bool = False, max_variable_mods: int = 1, m_mod_format: str = "unimod", charge_length_rules: str | None = "", min_precursor_mz: float | None = None, max_precursor_mz: float | None = None, filtered: bool = True, extra: Sequence[str] = ()) -> DataFrame:
+    """Peptides by modification and charge, with m/z and the ``extra`` columns. ``filtered`` off keeps what rules and limits drop, with the reason in ``_specloom_drop``."""
     if min_precursor_mz is not None and max_precursor_mz is not None and min_precursor_mz > max_precursor_mz:
         raise ValueError("the least precursor m/z must not be above the greatest")
     seq, ox = F.col("StrippedPeptide"), F.col("_specloom_ox")
@@ -84,7 +86,7 @@ def precursors(found: DataFrame, charges: str = "2,3,4", carbamidomethyl_c: bool
         "PeptideLength": F.length("StrippedPeptide"), "FixedCarbamidomethylC": F.lit(carbamidomethyl_c), "VariableOxidationM": F.size("_specloom_ox") > 0,
         "OxidationMPositions": P.format_positions(ox), "NVariableMods": F.size("_specloom_ox"), "ContainsSelenocysteine": F.contains(seq, F.lit("U")),
     })
-    return rows.where(F.col("_specloom_drop").isNull()).select(*names) if filtered else rows.select(*names, "_specloom_drop")
+    return rows.where(F.col("_specloom_drop").isNull()).select(*names, *extra) if filtered else rows.select(*names, *extra, "_specloom_drop")
 
 
 def precursor_table(proteins: DataFrame, enzyme: str = "trypsin-p", missed_cleavages: int = 1, min_length: int = 7, max_length: int = 30, allow_selenocysteine: bool = False, remove_invalid_aa: bool = True, **options) -> DataFrame:
@@ -93,13 +95,21 @@ def precursor_table(proteins: DataFrame, enzyme: str = "trypsin-p", missed_cleav
 
 
 def digest_stats(proteins: DataFrame, enzyme: str = "trypsin-p", missed_cleavages: int = 1, min_length: int = 7, max_length: int = 30, allow_selenocysteine: bool = False, remove_invalid_aa: bool = True, **options) -> DataFrame:
-    """One row of counters, each in the order of the filters."""
-    spans = digest(proteins, enzyme, missed_cleavages)
-    limits = {"min_length": min_length, "max_length": max_length, "allow_selenocysteine": allow_selenocysteine, "remove_invalid": remove_invalid_aa}
-    fits, known = peptide_filter(**limits)
-    raw = spans.agg(F.count("*").alias("n_raw_peptides"), F.count_if(~fits).alias("n_length_filtered"), F.count_if(fits & ~known).alias("n_invalid_aa_filtered"), F.count_distinct(F.when(fits & known, F.col("peptide"))).alias("n_unique_peptides"))
-    kept, first = F.col("_specloom_drop").isNull(), F.col("PrecursorCharge") == P.parse_charges(options.get("charges", "2,3,4"))[0]
-    forms = {"n_unique_modified_peptides": first, "n_oxidized_modified_peptides": first & (F.col("NVariableMods") > 0), "n_unique_selenocysteine_peptides": first & (F.col("NVariableMods") == 0) & F.col("ContainsSelenocysteine")}
-    rows = {"n_charge_length_filtered": F.col("_specloom_drop") == "charge_length", "n_precursor_mz_filtered": F.col("_specloom_drop") == "mz", "n_precursors_output": kept, "n_selenocysteine_precursors_output": kept & F.col("ContainsSelenocysteine")}
-    after = precursors(peptides(spans, **limits), filtered=False, **options).agg(F.count("*").alias("n_precursors_before_filters"), *[F.count_if(c).alias(k) for k, c in (forms | rows).items()])
-    return proteins.agg(F.count("*").alias("n_proteins")).crossJoin(raw).crossJoin(after)  # one row each
+    """One row of counters, each in the order of the filters, from one digestion: peptides that are filtered stand for their count alone."""
+    fits, known = peptide_filter(min_length, max_length, allow_selenocysteine, remove_invalid_aa)
+    found = digest(proteins, enzyme, missed_cleavages).groupBy("peptide").agg(F.count("*").alias("_specloom_n")).withColumns({"_specloom_fits": fits, "_specloom_ok": fits & known})
+    blank = {c: F.lit(None) for c in ("ProteinId", "ProteinCount", "ProteinDescription", "MinMissedCleavages", "MaxMissedCleavages")}
+    found = found.withColumn("StrippedPeptide", F.when(F.col("_specloom_ok"), F.col("peptide")).otherwise("")).withColumns(blank)
+    rows = precursors(found, filtered=False, extra=["_specloom_n", "_specloom_fits", "_specloom_ok"], **options)
+    ok, fits, drop = F.col("_specloom_ok"), F.col("_specloom_fits"), F.col("_specloom_drop")
+    form = F.col("PrecursorCharge") == P.parse_charges(options.get("charges", "2,3,4"))[0]  # one row a form
+    peptide = form & (F.col("NVariableMods") == 0)  # one row a peptide
+    spans = {"n_raw_peptides": peptide, "n_length_filtered": peptide & ~fits, "n_invalid_aa_filtered": peptide & fits & ~ok}
+    counts = {
+        "n_unique_peptides": peptide, "n_unique_selenocysteine_peptides": peptide & F.col("ContainsSelenocysteine"), "n_unique_modified_peptides": form,
+        "n_oxidized_modified_peptides": form & (F.col("NVariableMods") > 0), "n_precursors_before_filters": F.lit(True), "n_charge_length_filtered": F.coalesce(drop == "charge_length", F.lit(False)),
+        "n_precursor_mz_filtered": F.coalesce(drop == "mz", F.lit(False)), "n_precursors_output": drop.isNull(), "n_selenocysteine_precursors_output": drop.isNull() & F.col("ContainsSelenocysteine"),
+    }
+    total = [F.coalesce(F.sum(F.when(c, F.col("_specloom_n"))), F.lit(0)).alias(k) for k, c in spans.items()]
+    after = rows.agg(*total, *[F.count_if(ok & c).alias(k) for k, c in counts.items()])
+    return proteins.agg(F.count("*").alias("n_proteins")).crossJoin(after)  # one row each
