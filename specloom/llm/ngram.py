@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import crc_mod, hash64, mix64, save, text_of
+from specloom.llm.common import crc_mod, hash64, mix64, save, sweep, text_of
 from specloom.llm.rolling import Prefix
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -248,6 +248,7 @@ def score(docs: DataFrame, train: Column, order: int = 2, hold: int = 10, chunk_
         asks[-1] = save(asks[-1], "asked")  # read again on the way back
         asks.append(asks[-1].groupBy("p", "g").applyInArrow(merge(level), ASKED))
     replies = save(asks[-1].groupBy("p").applyInArrow(answer, ANSWERED + ", n bigint, v bigint, n_fit bigint, v_fit bigint"), "counts")
+    sweep(docs.sparkSession)
     sums = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_fit", "v_fit"))).first()
     fit_docs = known.where(F.col("train") & ~dev).count()
     replies = replies.where("child >= 0").select("p", "child", "f", "n_keys", "total", "fit")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import mix64, over_batches, save, small_batches, text_of
+from specloom.llm.common import mix64, over_batches, save, small_batches, sweep, text_of
 from specloom.llm.rolling import Prefix
 
 GRAM, PIECE = 32, 16
@@ -131,6 +131,7 @@ def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_
     sizes = sizes.select("anchor", (F.col("k") > hot).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
     contexts = contexts.withColumn("deal", dealt).join(sizes, ["anchor", "deal"])
     contexts = save(contexts.select("anchor", "ctx", "n", "at.*", "off", "span", "hot"), "contexts")
+    sweep(docs.sparkSession)
     total = contexts.agg(F.sum(F.when(F.col("hot"), (F.col("span") / PIECE + 2) * (length + PIECE)).otherwise(F.col("span") + length))).first()[0] or 0
     buckets = max(8, ceil(total / bucket_bytes))
     wanted = contexts.groupBy("uid").agg(F.collect_list(F.struct("anchor", "ctx", "n", "doc_id", "off", "s0", "span", "hot")).alias("want"))  # at most the document's own anchors
@@ -220,6 +221,7 @@ def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_
     parts = parts.mapInArrow(over_batches(cut, sent), "bucket int, anchor bigint, ctx bigint, n bigint, doc_id bigint, uid bigint, s0 bigint, rel int, span int, piece bigint, data binary")
     marks = parts.groupBy("bucket").applyInArrow(suffixes, "anchor bigint, ctx bigint, runs array<int>, firsts array<int>")
     marks = save(marks.groupBy("anchor", "ctx").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("firsts")).alias("firsts")), "marks")  # pieces of one context
+    sweep(docs.sparkSession)
     hits = occ.join(marks, ["anchor", "ctx"])
     if keep_first:
         rep = contexts.select("anchor", "ctx", F.col("uid").alias("ru"), F.col("s0").alias("rs"))
