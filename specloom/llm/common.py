@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,7 +54,8 @@ def bounded(df: DataFrame, name: str, most: int) -> tuple[DataFrame, DataFrame]:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that are done, which it does when the driver's JVM has collected them."""
+    """Lets Spark remove the shuffle files of plans that are done, which it does when neither Python nor the driver's JVM holds them."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

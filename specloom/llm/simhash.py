@@ -357,6 +357,7 @@ def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: Da
     compared with one of them at a time until at most ``few`` pairs a row are left (``turns`` times at most), then pair by pair."""
     firsts = prefixes(texts, marked, n_words, similarity)
     met = meetings(firsts)
+    discard(firsts)
     rows = apart(labelled(met, linked), similarity)
     discard(met)
     fits = f"least(l.n - l.i, r.n - r.i) >= {similarity / (1 + similarity)!r}D * (l.n + r.n) - 1e-6D"  # what can follow the first shared shingle, itself included
@@ -366,6 +367,7 @@ def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: Da
         pairs = save(pairs.distinct(), "pairs")
         nodes = distinct.select("row", "node").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
         sets = sets_of(texts, nodes, n_words)
+        sweep(texts.sparkSession)
         sure = save(alike(pairs, sets, similarity), "alike")
         discard(pairs, sets)
         return sure
@@ -384,7 +386,7 @@ def rest_of(linked: DataFrame, distinct: DataFrame, texts: DataFrame, marked: Da
     left, right = rows.alias("l"), rows.alias("r")
     on = (F.col("l.x") == F.col("r.x")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & F.expr(fits)
     found = save(found.unionByName(compared(left.join(right, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))), "found")
-    discard(rows, firsts)
+    discard(rows)
     return found
 
 
