@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,18 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def read_once(spark: SparkSession) -> Iterator[None]:
+    """Of plans made and run within, Spark removes the shuffle files as soon as they have run, whoever still holds them; what is run again is worked out again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes saved tables that no later plan reads, and the shuffle files of plans that are done."""
     for df in tables:

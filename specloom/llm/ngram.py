@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import crc_mod, hash64, mix64, save, sweep, text_of
+from specloom.llm.common import crc_mod, hash64, mix64, read_once, save, text_of
 from specloom.llm.rolling import Prefix
 
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -245,15 +245,17 @@ def score(docs: DataFrame, train: Column, order: int = 2, hold: int = 10, chunk_
 
     asks = [dealt.groupBy("chunk").applyInArrow(ask, ASKED)]
     for level in range(1, levels.depth):
-        asks[-1] = save(asks[-1], "asked")  # read again on the way back
+        with read_once(docs.sparkSession):
+            asks[-1] = save(asks[-1], "asked")  # read again on the way back
         asks.append(asks[-1].groupBy("p", "g").applyInArrow(merge(level), ASKED))
-    replies = save(asks[-1].groupBy("p").applyInArrow(answer, ANSWERED + ", n bigint, v bigint, n_fit bigint, v_fit bigint"), "counts")
-    sweep(docs.sparkSession)
+    with read_once(docs.sparkSession):
+        replies = save(asks[-1].groupBy("p").applyInArrow(answer, ANSWERED + ", n bigint, v bigint, n_fit bigint, v_fit bigint"), "counts")
     sums = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_fit", "v_fit"))).first()
     fit_docs = known.where(F.col("train") & ~dev).count()
     replies = replies.where("child >= 0").select("p", "child", "f", "n_keys", "total", "fit")
     for asked in asks[-2::-1]:
-        replies = save(asked.groupBy("p", "g").cogroup(replies.withColumnRenamed("child", "g").groupBy("p", "g")).applyInArrow(pass_on, ANSWERED), "counts")
+        with read_once(docs.sparkSession):
+            replies = save(asked.groupBy("p", "g").cogroup(replies.withColumnRenamed("child", "g").groupBy("p", "g")).applyInArrow(pass_on, ANSWERED), "counts")
     replies = replies.withColumnRenamed("child", "chunk")
 
     def counted(left: pa.Table, right: pa.Table, which: str) -> tuple[list[np.ndarray], np.ndarray]:
@@ -277,7 +279,8 @@ def score(docs: DataFrame, train: Column, order: int = 2, hold: int = 10, chunk_
         return pa.table({"b": cells[0], **{k: cells[i + 1] for i, k in enumerate(names)}, "n": n.astype(np.int64)})
 
     held = dealt.where("chunk % 3 = 1").groupBy("chunk").cogroup(replies.where("chunk % 3 = 1").groupBy("chunk"))
-    cells = held.applyInArrow(histogram, "b bigint, " + ", ".join(f"{k} bigint" for k in names) + ", n bigint").groupBy("b", *names).agg(F.sum("n").alias("n")).collect()
+    with read_once(docs.sparkSession):
+        cells = held.applyInArrow(histogram, "b bigint, " + ", ".join(f"{k} bigint" for k in names) + ", n bigint").groupBy("b", *names).agg(F.sum("n").alias("n")).collect()
     model = Model(order, sums["n"], sums["v"], size[1], learn(sorted(tuple(r) for r in cells), order))
 
     def final(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import itertools
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -271,6 +273,24 @@ def test_lm_score_by_brute_force(spark):
         assert got.score[i] == pytest.approx(score)
 
 
+@pytest.mark.parametrize("fan", [512, 3])
+def test_lm_shuffle_files_go(spark, fan):
+    """When op1's tables are written, nothing that was shuffled for them is left on disk but the numbers of a few totals, on one level or several."""
+    from specloom.llm import ngram
+    from specloom.llm.common import crc_mod
+
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f.name: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), shuffled()
+    ngram.score(docs, crc_mod(docs["doc_id"], 5) != 1, chunk_bytes=16 << 10, bucket_bytes=24 << 10, fan=fan)
+    until = time.time() + 10  # files go a moment after the plan
+    while (left := sum(n for f, n in shuffled().items() if f not in before)) > 5000 and time.time() < until:
+        time.sleep(0.5)
+    assert left <= 5000
+
+
 def test_pipeline_by_stage(spark):
     """Each stage's rows from its own input, worked out in plain Python."""
     import sentencepiece
