@@ -12,6 +12,10 @@ exactly if the suffix before it ties.
 The contexts of an anchor with more than ``hot`` different contexts are cut into pieces of 16 strings at fixed offsets from the
 anchor, grouped by the hash of what all strings of a piece share; equal pieces of a task are combined before the shuffle.
 
+Passages of words are often shorter than ``length`` bytes and lose nothing. With ``words``, each document's strings of so many words
+that another document also has are counted beside (``n_shared``; 0 exactly if the longest factor it shares with another is shorter). Equal strings share an
+anchor there too; of anchors met once nothing is read again, of the others each different context once.
+
 Null and empty texts, and texts shorter than ``length``, lose nothing. Texts of any length are whole, also beyond
 one block (blocks overlap). Repeated rows are other documents. Other columns are ignored. An empty table gives an
 empty result. Matches are by 64-bit hashes of the strings' blocks (chance of a false one about 1e-19 a pair).
@@ -26,23 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import mix64, over_batches, save, small_batches, sweep, text_of
+from specloom.llm.common import discard, mix64, over_batches, read_once, save, small_batches, sweep, text_of
 from specloom.llm.rolling import Prefix
 
-GRAM, PIECE = 32, 16
+GRAM, PIECE, WORDS = 32, 16, 16
 _BLOCK = 4 << 20  # bytes of a text whose anchors are found at a time
 _LOW = np.uint64((1 << 24) - 1)
+_WORD = ~np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of string starts with one anchor: anchor hash, offset of the anchor from the run's first start, first start, number of starts."""
     n = len(data) - length + 1
     parts = []
     for at in range(0, n, _BLOCK):
         part = data[at : at + _BLOCK + length - 1]
-        h = Prefix(part).all(GRAM)
+        h = Prefix(part).all(gram)
         best = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-        width, span = length - GRAM + 1, 1
+        width, span = length - gram + 1, 1
         while span < width:  # minima over windows of doubling width
             step = min(span, width - span)
             best = np.minimum(best[:-step], best[step:])
@@ -97,14 +102,80 @@ def _runs(flags: np.ndarray, start_of: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begins, ends
 
 
-def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_bytes: int = 3 << 20, hot: int = 512, deals: int = 8) -> DataFrame:
+def word_hashes(text: str) -> np.ndarray:
+    """Of a text's words, in order."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    edge = np.diff(_WORD[data].astype(np.int8), prepend=0, append=0)
+    return Prefix(data).of(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+
+
+def shared(texts: DataFrame, words: int, deals: int = 8) -> DataFrame:
+    """(uid, n_shared) of ``texts`` (uid, text): in how many places a string of ``words`` words starts that another row also has; rows without one are absent."""
+    gram = min(WORDS, words)
+    found = pa.schema([("uid", pa.int64()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("times", pa.int64()), ("s0", pa.int64()), ("span", pa.int64())])
+    sent = pa.schema([("w", pa.int64()), ("ctx", pa.int64()), ("uid", pa.int64()), ("n", pa.int64())])
+
+    def find():
+        def step(batch: pa.RecordBatch) -> dict:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in found.names]
+            for uid, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "text")), strict=True):
+                data = word_hashes(text)
+                if len(data) < words:
+                    continue
+                h, off, s0, span = anchors(data, words, gram)
+                ctx = mix64(Prefix(data).of(s0, s0 + span + words - 1) + off.astype(np.uint64) * np.uint64(1 << 20) + span.astype(np.uint64))
+                ctx, at, times = np.unique(ctx, return_index=True, return_counts=True)  # a row counts once
+                for col, x in zip(out, (np.full(len(at), uid), h[at].view(np.int64), ctx.view(np.int64), times, s0[at], span[at]), strict=True):
+                    col.append(x)
+            return {k: np.concatenate(x) for k, x in zip(found.names, out, strict=True)}
+
+        return step
+
+    def cut():
+        def step(batch: pa.RecordBatch) -> dict:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in sent.names]
+            for uid, text, want in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "want")), strict=True):
+                h = Prefix(word_hashes(text)).all(words).view(np.int64)
+                for w in want:
+                    for col, x in zip(out, (h[w["s0"] : w["s0"] + w["span"]], *(np.full(w["span"], v) for v in (w["ctx"], uid, w["n"]))), strict=True):
+                        col.append(x)
+            return {k: np.concatenate(x) for k, x in zip(sent.names, out, strict=True)}
+
+        return step
+
+    def met_again(rows: DataFrame) -> DataFrame:
+        """The rows whose anchor others have too; an anchor's rows are dealt to several tasks by ctx."""
+        again = rows.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > 1)
+        again = again.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+        return rows.withColumn("deal", F.pmod(F.col("ctx"), F.lit(deals)).cast("int")).join(again, ["anchor", "deal"]).drop("deal")
+
+    with read_once(texts.sparkSession):
+        occ = save(texts.select("uid", "text").mapInArrow(over_batches(find, found), "uid bigint, anchor bigint, ctx bigint, times bigint, s0 bigint, span bigint"), "words")
+        rows = met_again(occ).groupBy("uid", "ctx").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("anchor", "times", "s0", "span")))  # equal rows have one uid
+        rows = save(rows, "rows")
+        discard(occ)
+        contexts = save(rows.groupBy("ctx").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "s0")).alias("at"), F.first("anchor").alias("anchor"), F.first("span").alias("span")).select("ctx", "n", "at.*", "anchor", "span"), "contexts")
+        wanted = met_again(contexts).groupBy("uid").agg(F.collect_list(F.struct("ctx", "n", "s0", "span")).alias("want"))  # at most the document's own anchors
+        parts = texts.select("uid", "text").join(wanted, "uid")  # of equal rows all contexts have n > 1
+        strings = save(parts.mapInArrow(over_batches(cut, sent), "w bigint, ctx bigint, uid bigint, n bigint"), "strings")
+        several = strings.groupBy("w").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.max("n").alias("n")).where("a <> b or n > 1").select("w")
+        single = strings.where("n = 1").join(several, "w").groupBy("ctx").agg(F.count("*").alias("m"))
+        marks = contexts.where("n > 1").select("ctx", F.col("span").alias("m")).unionByName(single)
+        out = save(rows.join(marks, "ctx").groupBy("uid").agg(F.sum(F.col("times") * F.col("m")).alias("n_shared")), "shared")
+        discard(rows, contexts, strings)
+    return out
+
+
+def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_bytes: int = 3 << 20, hot: int = 512, deals: int = 8, words: int = 0) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): ``spans`` the removed runs [from, to) of bytes, ``kept`` the other bytes.
 
-    With ``keep_first`` the copy of least doc_id (then least position) of each repeated string stays.
+    With ``keep_first`` the copy of least doc_id (then least position) of each repeated string stays. With ``words`` a last column
+    n_shared follows: in how many places a string of so many words starts that another document also has, whatever blanks are between the words.
     """
     if length < 2 * GRAM or length % 4:
         raise ValueError(f"length must be a multiple of 4 and at least {2 * GRAM}")
     texts = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    passages = shared(texts, words, deals) if words else None
     found = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("off", pa.int32()), ("s0", pa.int64()), ("span", pa.int32())])
 
     def find():
@@ -229,11 +300,13 @@ def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_
     else:
         hits = hits.withColumn("skip", F.array().cast("array<int>"))
     by_doc = hits.groupBy("uid").agg(F.collect_set(F.struct("s0", "runs", "skip")).alias("marks"))  # at most the document's own anchors
-    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary())])
+    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary()), *[("n_shared", pa.int64())] * bool(words)])
 
     def remove():
         def step(batch: pa.RecordBatch) -> dict:
             rows: dict[str, list] = {k: [] for k in final.names}
+            if words:
+                rows["n_shared"] = batch.column("n_shared").to_pylist()
             for doc, text, marked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
                 raw = text.encode()
                 rows["doc_id"].append(doc)
@@ -269,10 +342,12 @@ def repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, bucket_
 
         return step
 
-    whole = texts.join(by_doc, "uid", "left").select("doc_id", "text", "marks")
-    return whole.mapInArrow(over_batches(remove, final), "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<from: bigint, to: bigint>>, kept binary")
+    whole = texts.join(by_doc, "uid", "left").select("uid", "doc_id", "text", "marks")
+    if words:
+        whole = whole.join(passages, "uid", "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
+    return whole.drop("uid").mapInArrow(over_batches(remove, final), "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<from: bigint, to: bigint>>, kept binary" + ", n_shared bigint" * bool(words))
 
 
 def op6_longest_previous_factor(spark, sf_dir: str) -> DataFrame:
-    found = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=400, keep_first=False)
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=400, keep_first=False, words=51)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

@@ -24,12 +24,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Hashes of any substrings of ``data`` (uint8)."""
+    """Hashes of any substrings of ``data`` (uint8, or uint64 hashes of words)."""
 
     def __init__(self, data: np.ndarray):
         p, self.q = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.add.accumulate(_TABLE[data] * p[:-1], out=self.sums[1:])
+        np.add.accumulate((_TABLE[data] if data.dtype == np.uint8 else mix64(data)) * p[:-1], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.sums[ends] - self.sums[starts]) * self.q[starts])

@@ -13,7 +13,7 @@ import xxhash
 from compare import duck, spark_rows
 from pyspark.sql import functions as F
 
-from specloom.llm import lattice, mixing, pieces, pii, queries, simhash, toxicity
+from specloom.llm import lattice, mixing, pieces, pii, queries, repeats, simhash, toxicity
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -60,6 +60,41 @@ def test_op6(spark):
     assert removed > 0
 
 
+def test_op6_shared_passages(spark, tmp_path):
+    """Strings of 51 words that another document also has, most of them shorter than the 400 bytes that are removed."""
+    rng = np.random.default_rng(6)
+    some = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(list("abcdefgh"), n), rng.integers(0, 99, n), strict=True)]
+    passage, twice, edge = some(56), some(55), some(50)
+    rows = [(i, " ".join([*some(20 + i), *passage, *some(30)])) for i in range(60)]
+    rows += [(60, "\n".join(passage[2:])), (61, " ".join([*twice, "x", *twice])), (62, " ".join([*some(9), *edge])), (63, " ".join([*edge, *some(9)]))]
+    rows += [(64, " ".join(some(70)))] * 2 + [(None, " ".join(rows[3][1].split())), (65, None), (66, ""), (67, "\x0b é ")]
+    words = [re.split(f"[{BLANKS.decode()}]+", (t or "").strip(BLANKS.decode())) for _, t in rows]
+    seen = collections.defaultdict(set)
+    for r, w in enumerate(words):
+        for k in range(len(w) - 50):
+            seen[tuple(w[k : k + 51])].add(r)
+    want = [sum(len(seen[tuple(w[k : k + 51])]) > 1 for k in range(len(w) - 50)) for w in words]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_longest_previous_factor"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shared"]) for r in got) == sorted((d or -1, n) for (d, _), n in zip(rows, want, strict=True))
+    assert min(want[:60]) >= 6 and want[60:66] == [4, 0, 0, 0, 20, 20]
+    assert sum(r["n_shared"] > 0 and r["n_removed"] == 0 for r in got) > 50
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert repeats.repeats(empty, words=51).collect() == []
+
+
+def test_op6_shared_on_the_tables(spark):
+    texts = texts_of(spark, SF)
+    words = {i: [w for w in re.split(b"[" + re.escape(BLANKS) + b"]+", t.encode()) if w] for i, t in texts.items()}
+    seen = collections.defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - 50):
+            seen[hash(tuple(w[k : k + 51]))].add(i)
+    got = {r["doc_id"]: r["n_shared"] for r in queries.QUERIES["op6_longest_previous_factor"](spark, SF).collect()}
+    assert got == {i: sum(len(seen[hash(tuple(w[k : k + 51]))]) > 1 for k in range(len(w) - 50)) for i, w in words.items()}
+    assert any(got.values())
+
+
 def test_op7(spark):
     texts = texts_of(spark, SF)
     prints = {}
