@@ -301,11 +301,12 @@ def _times(answer: Any, n: int) -> np.ndarray:
     return times
 
 
-def predict_rt(precursors: DataFrame, backend: str = "mock", output: str = "NormalizedRetentionTime", model: Callable | None = None, modified: str = "ModifiedPeptide", stripped: str | None = "StrippedPeptide", carbamidomethyl_c: bool = True, calibration: DataFrame | None = None, calibration_rt_column: str = "tr", most_calibration: int = 1_000_000) -> DataFrame:
+def predict_rt(precursors: DataFrame, backend: str = "mock", output: str = "NormalizedRetentionTime", model: Callable | None = None, modified: str = "ModifiedPeptide", stripped: str | None = "StrippedPeptide", carbamidomethyl_c: bool = True, calibration: DataFrame | None = None, calibration_rt_column: str = "tr", most_calibration: int = 1_000_000, fit: Callable[[DataFrame], Any] | None = None) -> DataFrame:
     """One prediction a distinct peptide form, joined back to its precursors.
 
     ``model`` takes the calibration frame (seq, modifications, tr) or None, once a task, and makes a caller: frames of seq and
-    modifications to times. The calibration goes whole to every task, so it may have ``most_calibration`` rows at most.
+    modifications to times. The calibration goes whole to every task, so it may have ``most_calibration`` rows at most. With ``fit``
+    it may have any number: ``fit`` makes what ``model`` takes instead, from the whole table as a DataFrame.
     """
     seq, mods = "_specloom_seq", "_specloom_mods"
     rows = _rt_columns(precursors.drop(output), modified, stripped, carbamidomethyl_c, seq, mods)
@@ -315,10 +316,15 @@ def predict_rt(precursors: DataFrame, backend: str = "mock", output: str = "Norm
     elif backend == "deeplc":
         make, table = model or deeplc(), None
         if calibration is not None:
-            table = calibration_input(calibration, calibration_rt_column, modified, stripped, carbamidomethyl_c).orderBy("seq", "modifications", "tr").limit(most_calibration + 1).toPandas()
-            if len(table) > most_calibration:
-                raise ValueError(f"the calibration has more than {most_calibration} rows")
-        shared = precursors.sparkSession.sparkContext.broadcast(table if table is not None and len(table) else None)
+            table = calibration_input(calibration, calibration_rt_column, modified, stripped, carbamidomethyl_c)
+            if fit is not None:
+                table = fit(table)
+            else:
+                table = table.orderBy("seq", "modifications", "tr").limit(most_calibration + 1).toPandas()
+                if len(table) > most_calibration:
+                    raise ValueError(f"the calibration has more than {most_calibration} rows")
+                table = table if len(table) else None
+        shared = precursors.sparkSession.sparkContext.broadcast(table)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             call = make(shared.value)

@@ -250,15 +250,19 @@ def _model_query(client, schema):
     return q
 
 
-def _calibrated(calibration):
+def _mean_difference(calibration):
+    """Of the calibration's times to half a minute a residue; null without any."""
+    return calibration.agg(F.avg(F.col("tr") - F.length("seq") * 0.5)).first()[0]
+
+
+def _calibrated(off):
     """Half a minute a residue, moved by the mean difference to the calibration."""
-    off = (calibration["tr"] - calibration["seq"].str.len() * 0.5).mean()
-    return lambda frame: frame["seq"].str.len() * 0.5 + off
+    return lambda frame: frame["seq"].str.len() * 0.5 + (float("nan") if off is None else off)
 
 
 def q_rt_calibrated(spark, sf):
     known = digest.peptides(digest.digest(proteins(spark, sf), "trypsin-p", 0)).select(F.col("StrippedPeptide").alias("seq"), F.lit("").alias("modifications"), (F.length("StrippedPeptide") * 0.75 + 3).alias("tr"))
-    rows = predict.predict_rt(words(spark, sf), "deeplc", model=lambda table: _calibrated(table), calibration=known)
+    rows = predict.predict_rt(words(spark, sf), "deeplc", model=lambda off: _calibrated(off), calibration=known, fit=_mean_difference)
     return rows.select("ModifiedPeptide", "PrecursorCharge", F.round("NormalizedRetentionTime", 6).alias("NormalizedRetentionTime"))
 
 

@@ -1,15 +1,17 @@
 """Golden values, invariants, errors and commands."""
 
 import json
+from functools import partial
 
 import pandas as pd
 import pytest
+from compare import duck, spark_rows
 from pyspark.sql import functions as F
 
 from specloom.__main__ import main
 from specloom.functions import peptide as P
 from specloom.operators import combine, controls, digest, filters, predict, report, rt, sample, select
-from specloom.plans import commands, presets
+from specloom.plans import bridge, commands, presets
 from specloom.schema import DataError, coerce_numeric_commas, normalize
 from specloom.sources import tables
 from specloom.streaming.chunks import predict_stream
@@ -313,3 +315,9 @@ def test_chunks_build_and_sidecars(spark, tmp_path):
     assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "built" / "library.build_work").rglob("_SUCCESS")} and before
     assert json.loads((tmp_path / "built" / "library.build.json").read_text())["charges"] == "2"
     assert {r[0] for r in tables.read_table(spark, out["union"]).select("PrecursorCharge").distinct().collect()} == {2}
+
+
+def test_calibration_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(predict, "predict_rt", partial(predict.predict_rt, most_calibration=10))
+    sf = "/root/testdata/sf0.001"
+    assert spark_rows(bridge.QUERIES["rt_calibrated"](spark, sf)) == duck(bridge.ORACLE_SQL["rt_calibrated"], sf)
