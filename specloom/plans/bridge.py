@@ -168,7 +168,8 @@ def _peptides(enzyme):
 
 
 def q_spans(spark, sf):
-    return digest.digest(proteins(spark, sf), "trypsin", 1).groupBy("protein_id", "peptide", "missed").agg(F.count("*").alias("n"))
+    whole = proteins(spark, sf).repartition("protein_id")  # each sequence is shuffled once, not its spans
+    return digest.digest(whole, "trypsin", 1).groupBy("protein_id", "peptide", "missed").agg(F.count("*").alias("n"))
 
 
 def q_precursors(spark, sf):

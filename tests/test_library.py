@@ -321,3 +321,19 @@ def test_calibration_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(predict, "predict_rt", partial(predict.predict_rt, most_calibration=10))
     sf = "/root/testdata/sf0.001"
     assert spark_rows(bridge.QUERIES["rt_calibrated"](spark, sf)) == duck(bridge.ORACLE_SQL["rt_calibrated"], sf)
+
+
+def test_sequences_are_shuffled_once(spark):
+    plan = bridge.QUERIES["digest_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(protein_id#") == 1 and plan.count("hashpartitioning(protein_id#") == 1
+    spans = [(r["protein_id"], r["peptide"], r["missed"], r["n"]) for r in digest.digest(spark.createDataFrame([("a", "", "AKC")] * 2, "protein_id string, description string, sequence string").repartition("protein_id"), "trypsin", 1).groupBy("protein_id", "peptide", "missed").agg(F.count("*").alias("n")).collect()]
+    assert sorted(spans) == [("a", "AK", 0, 2), ("a", "AKC", 1, 2), ("a", "C", 0, 2)]
+
+
+def test_filtered_peptides_are_only_counted(spark):
+    rows = [(str(i), "", "A" * (31 + i) + "K" + "ACDEFGHIK" + "X" * (8 + i)) for i in range(20)]
+    stats = digest.digest_stats(spark.createDataFrame(rows, "protein_id string, description string, sequence string").coalesce(1), charges="2")
+    row = stats.first()
+    assert (row["n_raw_peptides"], row["n_length_filtered"], row["n_invalid_aa_filtered"], row["n_unique_peptides"]) == (100, 46, 34, 1)
+    grouped = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [peptide#" not in grouped
