@@ -97,9 +97,10 @@ def precursor_table(proteins: DataFrame, enzyme: str = "trypsin-p", missed_cleav
 def digest_stats(proteins: DataFrame, enzyme: str = "trypsin-p", missed_cleavages: int = 1, min_length: int = 7, max_length: int = 30, allow_selenocysteine: bool = False, remove_invalid_aa: bool = True, **options) -> DataFrame:
     """One row of counters, each in the order of the filters, from one digestion: peptides that are filtered stand for their count alone."""
     fits, known = peptide_filter(min_length, max_length, allow_selenocysteine, remove_invalid_aa)
-    found = digest(proteins, enzyme, missed_cleavages).groupBy("peptide").agg(F.count("*").alias("_specloom_n")).withColumns({"_specloom_fits": fits, "_specloom_ok": fits & known})
+    spans = digest(proteins, enzyme, missed_cleavages).select("peptide", fits.alias("_specloom_fits"), (fits & known).alias("_specloom_ok"))
+    found = spans.groupBy(F.when(F.col("_specloom_ok"), F.col("peptide")).alias("peptide"), "_specloom_fits", "_specloom_ok").agg(F.count("*").alias("_specloom_n"))  # filtered ones are not shuffled
     blank = {c: F.lit(None) for c in ("ProteinId", "ProteinCount", "ProteinDescription", "MinMissedCleavages", "MaxMissedCleavages")}
-    found = found.withColumn("StrippedPeptide", F.when(F.col("_specloom_ok"), F.col("peptide")).otherwise("")).withColumns(blank)
+    found = found.withColumn("StrippedPeptide", F.coalesce("peptide", F.lit(""))).withColumns(blank)
     rows = precursors(found, filtered=False, extra=["_specloom_n", "_specloom_fits", "_specloom_ok"], **options)
     ok, fits, drop = F.col("_specloom_ok"), F.col("_specloom_fits"), F.col("_specloom_drop")
     form = F.col("PrecursorCharge") == P.parse_charges(options.get("charges", "2,3,4"))[0]  # one row a form
