@@ -7,9 +7,11 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from specloom.functions import peptide as P
 from specloom.operators.filters import fitting, positive_intensity
@@ -93,12 +95,12 @@ def _text(values: pd.Series) -> pd.Series:
     return values.map(lambda x: x.decode(errors="replace") if isinstance(x, bytes) else str(x))
 
 
-def rows_of_answers(part: pd.DataFrame, answer: pd.DataFrame, sequence: str, names: dict[str, str | None], array: bool) -> pd.DataFrame:
-    """The precursors of a batch beside their answers: row by row (array layout), or by sequence and charge, or by position."""
+def rows_of_answers(part: pd.DataFrame, answer: pd.DataFrame, sequence: str, names: dict[str, str | None], array: bool) -> np.ndarray:
+    """The precursor of a batch that each answer is for: row by row (array layout), or by sequence and charge, or by position."""
     if array:
         if len(answer) != len(part):
             raise ValueError(f"the model answered {len(answer)} rows for {len(part)} precursors")
-        return part
+        return np.arange(len(part))
     if names["sequence"] and names["charge"]:
         keys = pd.MultiIndex.from_arrays([part[sequence].astype(str), part["PrecursorCharge"].astype(int)])
         if keys.has_duplicates:
@@ -114,7 +116,7 @@ def rows_of_answers(part: pd.DataFrame, answer: pd.DataFrame, sequence: str, nam
             raise DataError(f"an answer's position is outside its batch of {len(part)}")
     else:
         raise DataError("a row for each fragment needs the sequence and charge, or a position")
-    return part.iloc[at].reset_index(drop=True)
+    return at
 
 
 def model_inputs(part: pd.DataFrame, sequence: str, names: Sequence[str], collision_energy: float) -> pd.DataFrame:
@@ -139,14 +141,21 @@ def check_unique(precursors: DataFrame, source: str = "StrippedPeptide") -> None
         raise DataError("a sequence and charge stand for several precursors")
 
 
+MASSES = "_specloom_masses"
+
+
+def _masses(rows: DataFrame) -> Column:
+    fixed = F.coalesce(F.col("FixedCarbamidomethylC").cast("boolean"), F.lit(True)) if "FixedCarbamidomethylC" in rows.columns else F.lit(True)
+    ox = P.parse_positions(F.col("OxidationMPositions").cast("string")) if "OxidationMPositions" in rows.columns else F.array().cast("array<int>")
+    return P.residue_masses(F.col("StrippedPeptide"), fixed, ox)
+
+
 def to_library(fragments: DataFrame, annotation: str = "annotation", intensity: str = "intensities", mz: str | None = None, backend: str = "koina", model: str = "", collision_energy: float = 30.0, drop_zero: bool = True, extra: Sequence[str] = ()) -> DataFrame:
     """Fragments with their precursor's columns to transitions. Annotations that name no b or y ion are left out."""
     text = F.decode(F.col(annotation), "UTF-8") if dict(fragments.dtypes)[annotation] == "binary" else F.col(annotation)
     rows = fragments.withColumn("_specloom_a", P.annotation(text)).where("_specloom_a is not null")
     rows = rows.withColumns({"FragmentType": F.col("_specloom_a.ion"), "FragmentSeriesNumber": F.col("_specloom_a.number"), "FragmentCharge": F.col("_specloom_a.charge"), "LibraryIntensity": F.col(intensity), "FragmentAnnotation": text})
-    fixed = F.coalesce(F.col("FixedCarbamidomethylC").cast("boolean"), F.lit(True)) if "FixedCarbamidomethylC" in fragments.columns else F.lit(True)
-    ox = P.parse_positions(F.col("OxidationMPositions").cast("string")) if "OxidationMPositions" in fragments.columns else F.array().cast("array<int>")
-    made = P.fragment_mz(P.residue_masses(F.col("StrippedPeptide"), fixed, ox), F.col("FragmentType"), F.col("FragmentSeriesNumber"), F.col("FragmentCharge"))
+    made = P.fragment_mz(F.col(MASSES) if MASSES in fragments.columns else _masses(fragments), F.col("FragmentType"), F.col("FragmentSeriesNumber"), F.col("FragmentCharge"))
     rows = rows.withColumn("ProductMz", F.coalesce(F.when(F.col(mz) > 0, F.col(mz).cast("double")), made) if mz else made)
     rows = positive_intensity(rows, drop_zero).where("ProductMz is not null")
     rows = rows.withColumns({"PredictionBackend": F.lit(backend), "PredictionModel": F.lit(model), "CollisionEnergy": F.lit(float(collision_energy))})
@@ -201,18 +210,31 @@ class ModelPredictor:
             for frame in frames:
                 for at in range(0, len(frame), size):
                     part = frame.iloc[at : at + size].reset_index(drop=True)
-                    answer = pd.DataFrame(call(model_inputs(part, sequence, inputs, energy))).reset_index(drop=True)
-                    if as_library:
-                        yield answer[wanted]
-                    else:
-                        found = answer[wanted].rename(columns={c: PART + c for c in wanted})
-                        yield pd.concat([rows_of_answers(part, answer, sequence, names, array)[columns], found], axis=1)
+                    yield pd.DataFrame(call(model_inputs(part, sequence, inputs, energy))).reset_index(drop=True)[wanted]
 
         if as_library:
             answers = precursors.mapInPandas(run, schema)
             return positive_intensity(answers, self.drop_zero).withColumns({"PredictionBackend": F.lit("koina"), "PredictionModel": F.lit(self.model)})
-        out = T.StructType([*precursors.schema, *[T.StructField(PART + c, kinds[c]) for c in wanted]])
-        answers = precursors.mapInPandas(run, out)
+        kind = T.StructType([T.StructField(PART + c, kinds[c]) for c in wanted])
+        arrow = [to_arrow_type(f.dataType) for f in kind]
+
+        def beside(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            call = client()
+            for texts, charges in batches:
+                frame, counts, found = pd.DataFrame({sequence: texts.to_pandas(), "PrecursorCharge": charges.to_pandas()}), [], []
+                for first in range(0, len(frame), size):
+                    part = frame.iloc[first : first + size].reset_index(drop=True)
+                    answer = pd.DataFrame(call(model_inputs(part, sequence, inputs, energy))).reset_index(drop=True)
+                    at = rows_of_answers(part, answer, sequence, names, array)
+                    counts.append(np.bincount(at, minlength=len(part)))
+                    answer = answer.iloc[np.argsort(at, kind="stable")]
+                    found.append(pa.StructArray.from_arrays([pa.Array.from_pandas(answer[c], type=t, safe=False) for c, t in zip(wanted, arrow, strict=True)], [f.name for f in kind]))
+                ends = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(found) if found else pa.array([], pa.struct(list(zip(kind.names, arrow, strict=True)))))
+
+        # sequence and charge alone go to Python, the other columns wait beside it; those that nobody reads are not made
+        asked = F.arrow_udf(beside, T.ArrayType(kind)).asNondeterministic()(F.col(sequence), F.col("PrecursorCharge"))
+        answers = precursors.withColumn(MASSES, _masses(precursors)).withColumn(PART, asked).select(*columns, MASSES, F.inline(PART))  # masses once a precursor
         at = {k: PART + names[k] if names[k] else None for k in ("intensity", "annotation", "mz")}
         if array:
             answers = unnest(answers, at["intensity"], at["annotation"], at["mz"])

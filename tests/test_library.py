@@ -337,3 +337,10 @@ def test_filtered_peptides_are_only_counted(spark):
     assert (row["n_raw_peptides"], row["n_length_filtered"], row["n_invalid_aa_filtered"], row["n_unique_peptides"]) == (100, 46, 34, 1)
     grouped = stats._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [peptide#" not in grouped
+
+
+def test_columns_that_nobody_reads_do_not_go_to_the_model(spark):
+    out = predict.ModelPredictor(bridge._arrays, "annotation array<string>, intensities array<double>", "m").predict(asked(spark))
+    plan = out.select("ModifiedPeptide", "LibraryIntensity")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "Project [ModifiedPeptide#" in plan
+    assert out.select("ModifiedPeptide", "LibraryIntensity").count() == 18
